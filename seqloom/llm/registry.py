@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from seqloom.llm.op7_bpe import op7_bpe
+from seqloom.llm.op9_toxicity import op9_toxicity
 
-QUERIES = {"op7_bpe": op7_bpe}
+QUERIES = {"op7_bpe": op7_bpe, "op9_toxicity": op9_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}
