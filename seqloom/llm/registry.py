@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from seqloom.llm.op2_jaccard import op2_jaccard
 from seqloom.llm.op4_mix import op4_mix
 from seqloom.llm.op7_bpe import op7_bpe
 from seqloom.llm.op9_toxicity import op9_toxicity
 
-QUERIES = {"op4_mix": op4_mix, "op7_bpe": op7_bpe, "op9_toxicity": op9_toxicity}
+QUERIES = {"op2_jaccard": op2_jaccard, "op4_mix": op4_mix, "op7_bpe": op7_bpe, "op9_toxicity": op9_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}
