@@ -57,7 +57,8 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     )
     at_cap = F.col("caps_to") + F.col("cap") / F.col("w") * F.col("w_after")
     level = (F.col("total") - (F.col("caps_to") - F.col("cap"))) / (F.col("w_after") + F.col("w"))
-    filled = filled.withColumn("level", F.min(F.when(at_cap >= F.col("total") * (1 - 1e-12), level)).over(everything))
+    reached = F.when(at_cap >= F.col("total") * (1 - 1e-12), F.struct((F.col("cap") / F.col("w")).alias("at"), level.alias("level")))
+    filled = filled.withColumn("level", F.min(reached).over(everything)["level"])
     target = F.least(F.col("cap"), F.coalesce(F.col("level"), F.col("cap") / F.col("w")) * F.col("w"))
     return filled.select("source", "source_size", "documents", target.alias("target"))
 
@@ -135,5 +136,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         level = folded.filter(F.col("f.left").isNotNull()).select(*keys, F.floor(F.col("block") / BLOCK).alias("block"), F.col("f.left").alias("x"))
 
 
+def take(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; rows of size 0 once. Ids are taken to be distinct; rows that share one share its copies."""
+    counts = mix(docs, **how).groupBy("doc_id").agg(F.avg("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
+    joined = docs.join(counts, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    times = F.array_repeat(F.lit(0), F.round("_copies").cast("int"))
+    return joined.select(*docs.columns, F.explode(times).alias("_time")).drop("_time")
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
