@@ -179,7 +179,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = checkpoint(features(plain, n, bands, rows))
     some = F.length("fp") > 0
-    reps = checkpoint(found.filter(some).groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("chars").alias("chars"), F.first("bands").alias("bands")))
+    reps = checkpoint(found.filter(some).groupBy("fp").agg(F.coalesce(F.min(F.nullif("doc_id", F.lit(NULL_ID))), F.lit(NULL_ID)).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("chars").alias("chars"), F.first("bands").alias("bands")))
     held = reps.select("fp", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "fp")
     shared = held.groupBy("bucket").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("bucket").alias("b"), "least")
     edges = held.join(shared, F.col("bucket") == F.col("b")).filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()

@@ -340,6 +340,24 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return score_units(docs, model.weights, model.bias).select("doc_id", value.alias("score"))
 
 
+def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` with a score below one half, all columns, in one pass over them."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
+    at, cut = docs.columns.index("text"), -model.offset / model.slope
+
+    def make():
+        value, _ = _scorer(*shared.value)
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array([v < cut for v in value(texts_of(batch.column(at)))], pa.bool_()))
+
+        return run
+
+    return map_batches(docs, make, docs.schema, rows=256)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
