@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from seqloom.llm.op10_repeats import op10_repeats
 from seqloom.llm.op2_jaccard import op2_jaccard
+from seqloom.llm.op3_extract import op3_extract
 from seqloom.llm.op4_mix import op4_mix
 from seqloom.llm.op7_bpe import op7_bpe
 from seqloom.llm.op9_toxicity import op9_toxicity
 
-QUERIES = {"op10_repeats": op10_repeats, "op2_jaccard": op2_jaccard, "op4_mix": op4_mix, "op7_bpe": op7_bpe, "op9_toxicity": op9_toxicity}
+QUERIES = {"op3_extract": op3_extract, "op10_repeats": op10_repeats, "op2_jaccard": op2_jaccard, "op4_mix": op4_mix, "op7_bpe": op7_bpe, "op9_toxicity": op9_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}
