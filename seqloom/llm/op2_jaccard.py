@@ -182,7 +182,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     reps = checkpoint(found.filter(some).groupBy("fp").agg(F.coalesce(F.min(F.nullif("doc_id", F.lit(NULL_ID))), F.lit(NULL_ID)).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("chars").alias("chars"), F.first("bands").alias("bands")))
     held = reps.select("fp", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "fp")
     shared = held.groupBy("bucket").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("bucket").alias("b"), "least")
-    edges = held.join(shared, F.col("bucket") == F.col("b")).filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+    # Each set points to the least of its buckets' least sets, and that joins the others: as these are shared by many, few distinct edges are left.
+    met = held.join(shared, F.col("bucket") == F.col("b")).groupBy("fp").agg(F.array_sort(F.collect_set("least")).alias("leasts"))  # one a band at most
+    edges = met.select(F.explode(F.concat(F.array("fp"), F.slice("leasts", 2, bands))).alias("a"), F.col("leasts")[0].alias("b")).filter("a <> b").distinct()
     grouped = components(edges).withColumnRenamed("node", "fp")
     sized = grouped.join(reps.select("fp", "rep", "copies", "chars"), "fp")
     blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
