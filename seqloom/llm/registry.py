@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from seqloom.llm import op8_exact
+from seqloom.llm.op1_language import op1_language
 from seqloom.llm.op2_jaccard import op2_jaccard
 from seqloom.llm.op3_extract import op3_extract
 from seqloom.llm.op4_mix import op4_mix
@@ -13,6 +14,7 @@ from seqloom.llm.op9_toxicity import op9_toxicity
 from seqloom.llm.op10_repeats import op10_repeats
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_jaccard": op2_jaccard,
     "op3_extract": op3_extract,
     "op4_mix": op4_mix,
