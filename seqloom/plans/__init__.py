@@ -1 +1,8 @@
+"""Queries of the library's operators over the driver tables."""
 
+from seqloom.plans import read_queries
+from seqloom.plans.registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "length_filter"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "read_queries"]
