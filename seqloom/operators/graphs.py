@@ -15,7 +15,8 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    return done.select(*[F.col(c).alias(c) for c in done.columns])  # fresh columns: a union of a frame with its own self-join needs them
 
 
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
@@ -38,7 +39,8 @@ def closure(parents: DataFrame, node: str, parent: str) -> DataFrame:
     edges = parents.filter(F.col(parent).isNotNull() & (F.col(parent) != F.col(node))).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps"))
     paths = cut(edges)
     while True:
-        longer = paths.alias("l").join(paths.alias("r"), F.col("l.ancestor") == F.col("r.node")).select("l.node", "r.ancestor", (F.col("l.steps") + F.col("r.steps")).alias("steps"))
+        far = paths.select(F.col("node").alias("n2"), F.col("ancestor").alias("a2"), F.col("steps").alias("s2"))
+        longer = paths.join(far, F.col("ancestor") == F.col("n2")).select("node", F.col("a2").alias("ancestor"), (F.col("steps") + F.col("s2")).alias("steps"))
         grown = cut(paths.union(longer).distinct())
         if grown.count() == paths.count():
             own = parents.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("steps"))
