@@ -133,7 +133,7 @@ def optimal_range(quals: Column, average_error: float) -> Column:
     def step(s: Column, q: Column) -> Column:
         total = s["sum"] + F.lit(average_error) - F.when(q < 1, F.lit(undefined)).otherwise(error_of(q))
         better = (total > s["best"]) | ((total == s["best"]) & (total > 0) & (s["i"] + 1 - s["from"] > s["stop"] - s["start"]))
-        dead = total <= 0
+        dead = total < 0
         return F.struct(
             (s["i"] + 1).alias("i"),
             F.when(dead, 0.0).otherwise(total).alias("sum"),

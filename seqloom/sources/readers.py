@@ -154,7 +154,7 @@ def read_genbank(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_phylip(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Interleaved alignments, a file a row of text: ``(id, bases)``."""
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
