@@ -51,7 +51,7 @@ def beam_encode(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
     return codes[np.arange(n), (residual**2).sum(2).argmin(1)]
 
 
-def train(x: np.ndarray, books: int = 8, size: int = 256, beam: int = 4, rounds: int = 2, seed: int = 3) -> np.ndarray:
+def train(x: np.ndarray, books: int = 12, size: int = 256, beam: int = 4, rounds: int = 1, seed: int = 3) -> np.ndarray:
     """Codebooks of shape (books, size, dimension)."""
     rng = np.random.default_rng(seed)
     size = min(size, len(x))
@@ -132,7 +132,7 @@ def block_best(row: dict, q_ids: np.ndarray, q: np.ndarray, books: np.ndarray |
     return np.concatenate(asked), np.concatenate(found), np.concatenate(scores)
 
 
-def nearest(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, k: int = 20, sample: int = 8192, books: int = 8, size: int = 256, beam: int = 4, rerank: int = 512) -> DataFrame:
+def nearest(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, k: int = 20, sample: int = 8192, books: int = 12, size: int = 256, beam: int = 4, rerank: int = 512) -> DataFrame:
     """``(query_id, rank, vec_id, score double)`` for the rows whose id is divisible by ``every``; books are trained on at most ``sample`` vectors."""
     vectors = usable(df, id_column, vector_column, zero_too=False)
     n, asked = vectors.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
