@@ -1,8 +1,8 @@
 """Queries of the library's operators over the driver tables."""
 
-from seqloom.plans import kmer_queries, read_queries, table_queries
+from seqloom.plans import genome_queries, kmer_queries, read_queries, table_queries
 from seqloom.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "length_filter"
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "kmer_queries", "read_queries", "table_queries"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "genome_queries", "kmer_queries", "read_queries", "table_queries"]
