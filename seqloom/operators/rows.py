@@ -108,13 +108,21 @@ def name_filter(rows: DataFrame, names: DataFrame, name: str, include: bool = Tr
     return rows.join(wanted, key.contains(F.col("_n")), how)
 
 
-def rename(rows: DataFrame, prefix: str, order: list[Column], name: str = "id") -> DataFrame:
-    """Names ``prefix_number`` in order, from 0; numbering by range partitions, without one task for all."""
-    return rows.withColumn(name, F.concat(F.lit(prefix + "_"), ranked(rows, order)))
+def numbered(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Numbers from 0 in order: a range-partitioned sort, cut by a checkpoint, and each partition's place plus its first number. No task holds all rows."""
+    from seqloom.operators.graphs import cut
+
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    done = cut(rows.orderBy(*order).select("*", F.spark_partition_id().alias("_p"), inside.alias("_i")))
+    starts = done.groupBy("_p").agg((F.max("_i") + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select(F.col("_p").alias("_q"), before.alias("_first"))
+    return done.join(F.broadcast(starts), F.col("_p") == F.col("_q")).withColumn(out, F.col("_first") + F.col("_i")).drop("_p", "_q", "_i", "_first")  # a row a partition
 
 
-def ranked(rows: DataFrame, order: list[Column]) -> Column:
-    return (F.row_number().over(W.orderBy(*order)) - 1).cast("string")
+def rename(rows: DataFrame, prefix: str, order: list[Column], name: str = "id") -> DataFrame:
+    """Names ``prefix_number`` in order, from 0."""
+    return numbered(rows, order, "_number").withColumn(name, F.concat(F.lit(prefix + "_"), F.col("_number").cast("string"))).drop("_number")
 
 
 def unique_names(rows: DataFrame, name: str, order: Column) -> DataFrame:

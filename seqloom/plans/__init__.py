@@ -3,6 +3,6 @@
 from seqloom.plans import genome_queries, kmer_queries, read_queries, table_queries
 from seqloom.plans.registry import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "length_filter"
+FLAGSHIP = "kmer_best_reference"
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "genome_queries", "kmer_queries", "read_queries", "table_queries"]
