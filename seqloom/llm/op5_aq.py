@@ -68,7 +68,7 @@ def train(x: np.ndarray, books: int = 12, size: int = 256, beam: int = 4, rounds
         out.append(centres)
     result = np.stack(out)
     for _ in range(rounds):
-        codes = beam_encode(x, result, beam) + np.arange(books) * size
+        codes = np.concatenate([beam_encode(x[a : a + 512], result, beam) for a in range(0, len(x), 512)]) + np.arange(books) * size
         total = books * size
         gram = np.zeros((total, total))
         right = np.zeros((total, x.shape[1]))
