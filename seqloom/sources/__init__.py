@@ -1,9 +1,10 @@
 """Readers and writers of sequence and annotation formats."""
 
+from seqloom.sources.bam import read_bam
 from seqloom.sources.detect import detect, read, sniff
 from seqloom.sources.readers import read_bed, read_coverage, read_fasta, read_fastq, read_genbank, read_gfa, read_gff, read_histogram, read_matrix, read_names, read_oneline, read_phylip, read_qual, read_sam, read_scarf, read_taxonomy, read_vcf
 from seqloom.sources.writers import write, write_fasta, write_fastq, write_sam, write_vcf
 
 __all__ = [
-    "detect", "read", "read_bed", "read_coverage", "read_fasta", "read_fastq", "read_genbank", "read_gfa", "read_gff", "read_histogram", "read_matrix", "read_names", "read_oneline", "read_phylip", "read_qual", "read_sam", "read_scarf", "read_taxonomy", "read_vcf", "sniff", "write", "write_fasta", "write_fastq", "write_sam", "write_vcf",
+    "detect", "read", "read_bam", "read_bed", "read_coverage", "read_fasta", "read_fastq", "read_genbank", "read_gfa", "read_gff", "read_histogram", "read_matrix", "read_names", "read_oneline", "read_phylip", "read_qual", "read_sam", "read_scarf", "read_taxonomy", "read_vcf", "sniff", "write", "write_fasta", "write_fastq", "write_sam", "write_vcf",
 ]

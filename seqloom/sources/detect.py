@@ -12,6 +12,7 @@ ENDINGS = {
     "fastq": "fq fastq",
     "fasta": "fa fasta fna ffn fas faa",
     "sam": "sam",
+    "bam": "bam",
     "vcf": "vcf",
     "gff": "gff gff3 gtf",
     "bed": "bed",
@@ -42,7 +43,7 @@ def detect(path: str, first_line: str | None = None) -> tuple[str, str | None]:
 
 def read(spark: SparkSession, path: str, **options) -> DataFrame:
     """Any format by its reader; Spark takes care of compression."""
-    from seqloom.sources import readers
+    from seqloom.sources import bam, readers
 
     kind, _ = detect(path)
     if kind == "text":
@@ -50,7 +51,7 @@ def read(spark: SparkSession, path: str, **options) -> DataFrame:
         kind, _ = detect(path, first[0][0] if first else "")
     if kind in ("parquet", "csv", "tsv", "text"):
         return spark.read.parquet(path) if kind == "parquet" else spark.read.text(path) if kind == "text" else spark.read.csv(path, sep="\t" if kind == "tsv" else ",", header=True)
-    return getattr(readers, f"read_{kind}")(spark, path, **options)
+    return getattr(bam if kind == "bam" else readers, f"read_{kind}")(spark, path, **options)
 
 
 def sniff(reads: DataFrame) -> DataFrame:
