@@ -13,15 +13,16 @@ around one is a suffix of its own, cut to that length; these are sorted and
 compared with their neighbours in the same way, each one that isn't the first of
 its like is a repeat, and overlapping repeats are put together to whole passages.
 The result is exact (but for clashes of 64-bit hashes): the words in some run of
-``least`` words that stands earlier, by (doc_id, position), too.
+``least`` words that stands earlier, by (doc_id, hash of the text, position), too.
 
-Sorting is by (hash, doc_id, position), so a passage that a third of the rows share
+Sorting is by (hash, doc_id, hash of the text, position), so a passage that a third of the rows share
 is spread over partitions; the first and last row of each partition are compared
 afterwards.
 
 Defined results: null and short texts repeat nothing; passages repeated within one
-text count; rows with the same id count as one text read again, not as a repeat of
-itself; a null id counts as the least one and comes back as null. An empty table
+text count; rows with the same id (or none) and the same text count as one text read
+again, not as a repeat of itself, and other rows are texts of their own, whatever
+their ids; a null id counts as the least one and comes back as null. An empty table
 gives an empty result; further columns are ignored.
 """
 
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,14 +58,14 @@ def minimisers(words: np.ndarray, gram: int, stretch: int) -> np.ndarray:
 
 
 def sparse_suffixes(docs: DataFrame, least: int) -> DataFrame:
-    """``(key, doc_id, pos)`` of the kept suffixes, key a hash of their first words."""
+    """``(key, doc_id, row, pos)`` of the kept suffixes of ``docs(doc_id, row, text)``, key a hash of their first words."""
     gram, stretch = shape(least)
     depth = least - stretch + 1
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, ids, places = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            keys, ids, rows, places = [], [], [], []
+            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
                 words = text.split()
                 if len(words) < least:
                     continue
@@ -73,112 +74,110 @@ def sparse_suffixes(docs: DataFrame, least: int) -> DataFrame:
                 at = at[at + depth <= len(words)]
                 keys.append(window_hashes(hashes, depth)[at].view(np.int64))
                 ids.append(np.full(len(at), doc, np.int64))
+                rows.append(np.full(len(at), row, np.int64))
                 places.append(at.astype(np.int32))
-            return _rows(keys, ids, places)
+            return _rows(keys, ids, rows, places)
 
         return run
 
-    return map_batches(docs, make, "key long, doc_id long, pos int")
+    return map_batches(docs, make, "key long, doc_id long, row long, pos int")
 
 
-def _rows(keys: list, ids: list, places: list) -> pa.RecordBatch | None:
+def _rows(keys: list, ids: list, rows: list, places: list) -> pa.RecordBatch | None:
     if not keys:
         return None
-    return pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "doc_id": np.concatenate(ids), "pos": np.concatenate(places)})
+    return pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "doc_id": np.concatenate(ids), "row": np.concatenate(rows), "pos": np.concatenate(places)})
 
 
-_OUT = "doc_id long, pos int, first_id long, edge int, key long, part int, last_id long, last_pos int"
+_OUT = "doc_id long, row long, pos int, first_id long, edge int, key long, part int"
 
 
 def neighbours(suffixes: DataFrame, later_only: bool) -> DataFrame:
-    """``(doc_id, pos, first_id)`` of the suffixes whose key another one has; with ``later_only`` without the first of each key.
+    """``(doc_id, row, pos, first_id)`` of the suffixes whose key another one has; with ``later_only`` without the first of each key.
 
     ``first_id`` is the document of the first suffix with that key.
     """
     n = partitions(suffixes.sparkSession)
-    ordered = suffixes.repartitionByRange(n, "key", "doc_id", "pos").sortWithinPartitions("key", "doc_id", "pos")
+    ordered = suffixes.repartitionByRange(n, "key", "doc_id", "row", "pos").sortWithinPartitions("key", "doc_id", "row", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        first = None  # the first run of the partition: key, doc, pos
-        head = None  # the present run's key, doc, pos, whether its head is given out
-        last = None
+        first = None  # the first run of the partition: key, doc, row, pos
+        head = None  # the present run's key, doc, row, pos, whether its head is given out
 
-        def out(docs, places, firsts, edge=0, key=0, last_id=0, last_pos=0):
+        def out(docs, rows, places, firsts, edge=0, key=0):
             size = len(docs)
             return pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(docs, pa.int64()),
+                    "row": pa.array(rows, pa.int64()),
                     "pos": pa.array(places, pa.int32()),
                     "first_id": pa.array(firsts, pa.int64()),
                     "edge": pa.array(np.full(size, edge), pa.int32()),
                     "key": pa.array(np.full(size, key, np.int64)),
                     "part": pa.array(np.full(size, part), pa.int32()),
-                    "last_id": pa.array(np.full(size, last_id, np.int64)),
-                    "last_pos": pa.array(np.full(size, last_pos), pa.int32()),
                 }
             )
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            key, doc, row, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             run_of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
-            hd, hp = doc[starts].copy(), pos[starts].copy()
+            hd, hr, hp = doc[starts].copy(), row[starts].copy(), pos[starts].copy()
             if head is not None and head[0] == key[0]:
-                hd[0], hp[0] = head[1], head[2]
-            later = (doc != hd[run_of]) | (pos != hp[run_of])
+                hd[0], hr[0], hp[0] = head[1:4]
+            later = (doc != hd[run_of]) | (row != hr[run_of]) | (pos != hp[run_of])
             if first is None:
-                first = int(key[0]), int(doc[0]), int(pos[0])
+                first = int(key[0]), int(doc[0]), int(row[0]), int(pos[0])
             given = later
             if not later_only:
                 many = np.zeros(len(starts), bool)
                 np.logical_or.at(many, run_of, later)
-                if head is not None and head[0] == key[0] and many[0] and not head[3]:
-                    yield out([head[1]], [head[2]], [head[1]])
+                if head is not None and head[0] == key[0] and many[0] and not head[4]:
+                    yield out([head[1]], [head[2]], [head[3]], [head[1]])
                 opens = np.zeros(len(key), bool)
                 opens[starts] = many
                 if head is not None and head[0] == key[0]:
                     opens[0] = False
                 given = later | opens
             if given.any():
-                yield out(doc[given], pos[given], hd[run_of[given]])
+                yield out(doc[given], row[given], pos[given], hd[run_of[given]])
             same = head is not None and head[0] == key[-1]
-            shown = (bool(later[starts[-1] :].any())) or (same and head[3])
-            head = (int(key[-1]), int(hd[-1]), int(hp[-1]), shown)
-            last = int(key[-1]), int(doc[-1]), int(pos[-1])
+            shown = (bool(later[starts[-1] :].any())) or (same and head[4])
+            head = (int(key[-1]), int(hd[-1]), int(hr[-1]), int(hp[-1]), shown)
         if first is not None:
-            yield out([first[1]], [first[2]], [first[1]], 1, first[0], first[1], first[2])
-            yield out([head[1]], [head[2]], [head[1]], 2, last[0], last[1], last[2])
+            yield out([first[1]], [first[2]], [first[3]], [first[1]], 1, first[0])
+            yield out([head[1]], [head[2]], [head[3]], [head[1]], 2, head[0])
 
     found = checkpoint(ordered.mapInArrow(run, _OUT))
     # Two rows a partition: where a run goes on from the partition before, its first row here repeats too.
     order = W.orderBy("part", "edge")
     edges = found.filter("edge > 0").withColumn("before", F.lag("key").over(order)).withColumn("new", F.when(F.col("before") == F.col("key"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     whole = W.partitionBy("run").orderBy("part", "edge")
-    edges = edges.withColumn("head_id", F.first("doc_id").over(whole)).withColumn("head_pos", F.first("pos").over(whole)).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("run"))).withColumn("parts", F.size(F.collect_set("part").over(W.partitionBy("run"))))
+    edges = edges.withColumn("head_id", F.first("doc_id").over(whole)).withColumn("head_row", F.first("row").over(whole)).withColumn("head_pos", F.first("pos").over(whole)).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("run"))).withColumn("parts", F.size(F.collect_set("part").over(W.partitionBy("run"))))
     crossing = edges.filter("parts > 1")
-    repeats = crossing.filter((F.col("doc_id") != F.col("head_id")) | (F.col("pos") != F.col("head_pos")))
-    extra = repeats.select("doc_id", "pos", F.col("head_id").alias("first_id"))
+    repeats = crossing.filter((F.col("doc_id") != F.col("head_id")) | (F.col("row") != F.col("head_row")) | (F.col("pos") != F.col("head_pos")))
+    extra = repeats.select("doc_id", "row", "pos", F.col("head_id").alias("first_id"))
     if not later_only:
-        heads = repeats.select(F.col("head_id").alias("doc_id"), F.col("head_pos").alias("pos"), F.col("head_id").alias("first_id"))
+        heads = repeats.select(F.col("head_id").alias("doc_id"), F.col("head_row").alias("row"), F.col("head_pos").alias("pos"), F.col("head_id").alias("first_id"))
         extra = extra.union(heads)
-    return found.filter("edge = 0").select("doc_id", "pos", "first_id").union(extra)
+    return found.filter("edge = 0").select("doc_id", "row", "pos", "first_id").union(extra)
 
 
 def windows_around(docs: DataFrame, kept: DataFrame, least: int) -> DataFrame:
-    """``(key, doc_id, pos)`` of every run of ``least`` words that holds an agreeing suffix's first words."""
+    """``(key, doc_id, row, pos)`` of every run of ``least`` words that holds an agreeing suffix's first words."""
     _, stretch = shape(least)
-    places = kept.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
-    joined = docs.join(places, "doc_id").select("doc_id", "text", "places")
+    places = kept.groupBy("doc_id", "row").agg(F.collect_list("pos").alias("places"))
+    joined = docs.join(places, ["doc_id", "row"]).select("doc_id", "row", "text", "places")
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, ids, places = [], [], []
-            for doc, text, at in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2), strict=True):
+            keys, ids, rows, places = [], [], [], []
+            for doc, row, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), batch.column(3), strict=True):
                 words = text.split()
                 n = len(words) - least + 1
                 if n < 1:
@@ -190,28 +189,39 @@ def windows_around(docs: DataFrame, kept: DataFrame, least: int) -> DataFrame:
                 starts = np.flatnonzero(np.cumsum(change[:n]) > 0)
                 keys.append(window_hashes(word_hashes(words), least)[starts].view(np.int64))
                 ids.append(np.full(len(starts), doc, np.int64))
+                rows.append(np.full(len(starts), row, np.int64))
                 places.append(starts.astype(np.int32))
-            return _rows(keys, ids, places)
+            return _rows(keys, ids, rows, places)
 
         return run
 
-    return map_batches(joined, make, "key long, doc_id long, pos int", rows=128)
+    return map_batches(joined, make, "key long, doc_id long, row long, pos int", rows=128)
 
 
-def passages(docs: DataFrame, least: int = 50) -> DataFrame:
-    """``(doc_id, first_id, start, end)``, in words, end exclusive: a row a repeated passage; ``first_id`` has it earlier, in whole or in part."""
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+def row_key() -> tuple[Column, Column]:
+    """What tells a row's text from others: its id and a hash of the text, as ids can be null or stand for several texts."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64(F.col("text").cast("string"))
+
+
+def row_spans(docs: DataFrame, least: int) -> DataFrame:
+    """``(doc_id, row, start, end, first_id)``, ids and rows as in ``row_key``."""
+    doc_id, row = row_key()
+    plain = docs.select(doc_id.alias("doc_id"), row.alias("row"), F.col("text").cast("string").alias("text"))
     agreeing = neighbours(sparse_suffixes(plain, least), later_only=False)
     repeats = neighbours(windows_around(plain, agreeing, least), later_only=True)
-    by_doc = W.partitionBy("doc_id").orderBy("pos")
+    by_doc = W.partitionBy("doc_id", "row").orderBy("pos")
     marked = repeats.withColumn("new", F.when(F.col("pos") - F.lag("pos").over(by_doc) <= least, 0).otherwise(1))
     runs = marked.withColumn("run", F.sum("new").over(by_doc.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    spans = runs.groupBy("doc_id", "run").agg(F.min("pos").alias("start"), (F.max("pos") + least).alias("end"), F.min("first_id").alias("first_id"))
+    return runs.groupBy("doc_id", "row", "run").agg(F.min("pos").alias("start"), (F.max("pos") + least).alias("end"), F.min("first_id").alias("first_id")).drop("run")
+
+
+def passages(docs: DataFrame, least: int = 50) -> DataFrame:
+    """``(doc_id, first_id, start, end)``, in words, end exclusive: a row a repeated passage; ``first_id`` has it earlier, in whole or in part."""
 
     def real(c: str):
         return F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
 
-    return spans.select(real("doc_id"), real("first_id"), "start", "end")
+    return row_spans(docs, least).select(real("doc_id"), real("first_id"), "start", "end")
 
 
 _WORD = re.compile(r"\S+")
@@ -229,8 +239,9 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """``docs`` with every repeated passage but its first occurrence cut out; rows left without a word go."""
-    spans = passages(docs, least).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    spans = row_spans(docs, least).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    doc_id, row = row_key()
+    joined = docs.join(spans, (doc_id == F.col("_id")) & (row == F.col("_row")), "left")
     plain = joined.filter(F.col("_spans").isNull()).select(*docs.columns)
     names = docs.columns
     todo = joined.filter(F.col("_spans").isNotNull()).select(*names, "_spans")

@@ -82,3 +82,22 @@ def test_repeated_ids_and_empty(spark, docs):
     assert op.passages(docs([(1, text, "a"), (1, text, "a")])).collect() == []
     assert op.passages(docs([])).collect() == []
     assert op.remove_repeats(docs([])).collect() == []
+
+
+def test_rows_without_ids_are_texts_of_their_own(spark, docs):
+    rng = random.Random(8)
+    passage, tail = words(rng, 60), words(rng, 300)
+    # Equal passages at the same place, null ids; one text is much shorter than the repeat in the other.
+    made = docs([(None, passage, "a"), (None, f"{passage} {tail}", "a"), (7, f"{tail} {words(rng, 3)}", "a"), (7, words(rng, 5), "b")])
+    got = op.passages(made).collect()
+    assert sum(r.end - r.start for r in got) == 60 + 300
+    left = [r.text.split() for r in op.remove_repeats(made).collect()]
+    assert sum(map(len, left)) == 60 + 300 + 3 + 5
+
+
+def test_texts_of_one_id(spark, docs):
+    rng = random.Random(9)
+    passage = words(rng, 60)
+    made = docs([(1, f"{passage} one", "a"), (1, f"{passage} two more", "a")])
+    assert [(r.doc_id, r.first_id, r.start, r.end) for r in op.passages(made).collect()] == [(1, 1, 0, 60)]
+    assert sorted(len(r.text.split()) for r in op.remove_repeats(made).collect()) in ([1, 62], [2, 61])
