@@ -127,6 +127,15 @@ def kmer_hamming_join(t):
     return K.matched_reads(r, "id", ten, index, 3)
 
 
+@query()
+def kmer_hamming_join_whole(t):
+    """As kmer_hamming_join, with all of benchmark as the reference; tested by brute force."""
+    ten = S.defined_kmers(F.col("bases"), 10)
+    refs = t("benchmark").filter("text is not null").select(F.col("item_id").alias("id"), F.regexp_replace(F.upper("text"), "[^ACGTN]", "").alias("bases"))
+    index = K.reference_index(refs, "id", ten).select("ref_id", F.explode(K.mutants(F.col("kmer"))).alias("kmer")).groupBy("kmer").agg(F.min("ref_id").alias("ref_id"))
+    return K.matched_reads(reads(t), "id", ten, index, 3)
+
+
 @query(f"{K8}, f AS (SELECT kmer, min(id) AS first FROM k GROUP BY kmer) SELECT CAST(floor(first / 100.0) AS BIGINT) AS bin, count(*) AS fresh FROM f GROUP BY 1")
 def uniqueness_curve(t):
     return K.first_seen(reads(t), "id", k8()).groupBy(F.floor(F.col("first") / 100.0).alias("bin")).agg(F.count(F.lit(1)).alias("fresh"))

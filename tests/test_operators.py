@@ -115,3 +115,17 @@ def test_headers_numbers_cigars(spark):
 def test_covering_set_covers(spark):
     chosen = [r.source for r in plans.QUERIES["covering_set"](spark, SF).collect()]
     assert chosen and len(set(chosen)) == len(chosen)
+
+
+def reads_of(spark, table="documents", key="doc_id"):
+    return {r[key]: "".join(c for c in r.text.upper() if c in "ACGTN") for r in spark.read.parquet(f"{SF}/{table}.parquet").collect() if r.text is not None}
+
+
+def ten_mers(bases):
+    return [b for i in range(len(bases) - 9) if "N" not in (b := bases[i : i + 10])]
+
+
+def test_whole_hamming_join(spark):
+    index = {k[:i] + a + k[i + 1 :] for b in reads_of(spark, "benchmark", "item_id").values() for k in ten_mers(b) for i in range(10) for a in "ACGT"}
+    want = {i: n for i, b in reads_of(spark).items() if (n := sum(k in index for k in ten_mers(b))) >= 3}
+    assert {r.id: r.hits for r in plans.QUERIES["kmer_hamming_join_whole"](spark, SF).collect()} == want and want
