@@ -145,6 +145,19 @@ def quality_by_position(t):
     return p.groupBy("pos").agg(F.round(F.avg("q"), 9).alias("mean"), F.min("q").alias("low"), F.max("q").alias("high"), F.percentile("q", 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def base_by_position_whole(t):
+    """Every position, where base_by_position and its SQL end at 150; tested against Python."""
+    return A.by_position(reads(t))
+
+
+@query()
+def quality_by_position_whole(t):
+    """Every position, where quality_by_position and its SQL end at 100; tested against Python."""
+    p = quals(t).select(F.posexplode("quals").alias("pos", "q"))
+    return p.groupBy("pos").agg(F.round(F.avg("q"), 9).alias("mean"), F.min("q").alias("low"), F.max("q").alias("high"), F.percentile("q", 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {READS} SELECT CAST(floor(len(bases) / 100) AS BIGINT) AS bin, count(*) AS n FROM reads GROUP BY 1")
 def length_histogram(t):
     return A.binned(reads(t), F.length("bases"), 100)
