@@ -275,6 +275,13 @@ def repair_pairs(t):
     return T.repair(rows, "name", "pair", "text")
 
 
+@query()
+def repair_pairs_whole(t):
+    """All turns, two by two, where repair_pairs and its SQL take the first two; tested against Python."""
+    rows = t("conversations").select(F.struct("conv_id", F.floor(F.col("turn") / 2).alias("number")).alias("name"), (F.col("turn") % 2).alias("pair"), "text")
+    return T.repair(rows, "name", "pair", "text").select(F.col("name.conv_id").alias("name"), F.col("name.number").alias("number"), "one", "two", "paired")
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_size > 40) ")
 def name_filter_exact(t):
     p = t("part")

@@ -144,3 +144,11 @@ def test_whole_positions(spark):
     for pos, q in at.items():
         r, s = got[pos], sorted(q)
         assert (r.low, r.high, r.n, r.median) == (s[0], s[-1], len(s), (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2) and abs(r["mean"] - sum(s) / len(s)) < 1e-8
+
+
+def test_whole_pairs(spark):
+    want = defaultdict(lambda: [None, None])
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        want[r.conv_id, r.turn // 2][r.turn % 2] = max(want[r.conv_id, r.turn // 2][r.turn % 2] or "", r.text)
+    got = {(r.name, r.number): [r.one, r.two] for r in plans.QUERIES["repair_pairs_whole"](spark, SF).collect()}
+    assert got == want and any(number for _, number in got)
