@@ -45,6 +45,12 @@ def split_alleles(t):
     return G.split_alleles(rows).select("doc_id", "allele", "alt")
 
 
+@query()
+def split_alleles_whole(t):
+    """Every piece between commas of the whole text, where split_alleles and its SQL read up to the first full stop; tested against Python."""
+    return G.split_alleles(t("documents").select("doc_id", F.col("text").alias("alt"))).select("doc_id", "allele", "alt")
+
+
 @query()
 def tandem_repeats(t):
     """Pairs of symbols that stand three times or more in a row; SQL here has no back references."""
@@ -67,5 +73,5 @@ def correct_errors(t):
 def merge_mates(t):
     """Each read's first half and the reverse complement of its last two thirds, merged again."""
     n = F.length("bases")
-    r = reads(t).filter(n >= 60)
-    return L.merged_mates(r.select("id", F.substring("bases", F.lit(1), F.least((n / 2).cast("int") + 10, F.lit(200))).alias("one"), S.reverse_complement(F.substring("bases", F.least((n / 2).cast("int"), F.lit(190)) - 10, F.lit(150))).alias("two"))).select("id", "overlap", F.length("merged").alias("length"))
+    one, two = F.substring("bases", F.lit(1), F.floor(n / 2).cast("int")), F.substring("bases", F.floor(n / 3).cast("int") + 1, n)
+    return L.merged_mates(reads(t).select("id", one.alias("one"), S.reverse_complement(two).alias("two"))).select("id", "overlap", F.length("merged").alias("length"))

@@ -3,9 +3,12 @@ import random
 
 from pyspark.sql import functions as F
 
+from seqloom import plans
 from seqloom.operators import alignment as L
 from seqloom.operators import genomes as G
 
+SF = "/root/testdata/sf0.001"
+
 
 def edit(a, b):
     row = list(range(len(b) + 1))
@@ -72,3 +75,20 @@ def test_made_up_and_network(spark):
     row = spark.createDataFrame([([1.0, 2.0],)], "x array<double>").select(G.network(F.col("x"), [([[0.5, -0.25], [1.0, 1.0]], [0.1, 0.0]), ([[2.0, -1.0]], [0.5])])).first()[0]
     h = [math.tanh(0.1), math.tanh(3.0)]
     assert abs(row[0] - 1 / (1 + math.exp(-(2 * h[0] - h[1] + 0.5)))) < 1e-12
+
+
+def letters(text):
+    return "".join(c for c in text.upper() if c in "ACGTN")
+
+
+def test_whole_mates_and_alleles(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text is not None]
+    want = {}
+    for i, text in rows:
+        b = letters(text)
+        one, two = b[: len(b) // 2], b[len(b) // 3 :]
+        n = L.best_overlap(one, two) if one and two else 0
+        want[i] = (n, len(one) + len(two) - n if n else None)
+    assert {r.id: (r.overlap, r.length) for r in plans.QUERIES["merge_mates"](spark, SF).collect()} == want
+    alleles = sorted((i, k, a) for i, text in rows for k, a in enumerate(text.split(","), 1))
+    assert sorted(map(tuple, plans.QUERIES["split_alleles_whole"](spark, SF).collect())) == alleles
