@@ -160,7 +160,7 @@ def address_parts(url: str) -> dict[str, Column]:
 
 def declared_language(html: str) -> Column:
     """The primary subtag of the html element's lang."""
-    found = F.lower(F.regexp_extract(F.substring(F.coalesce(F.col(html), F.lit("")), 1, 1 << 16), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", 1))
+    found = F.lower(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", 1))
     return F.when(found != "", found)
 
 

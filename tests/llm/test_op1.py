@@ -70,3 +70,8 @@ def test_driver_tables(spark):
     assert len(rows) == len(docs) + 50
     right = sum(docs[r.doc_id] == r.lang for r in rows if r.kind == "document")
     assert right >= 0.97 * len(docs)
+
+
+def test_language_declared_behind_a_long_comment(spark):
+    page = f"<!-- {'x' * 70000} --><html lang='fr'><body>a</body></html>"
+    assert spark.createDataFrame([(page,)], "html string").select(op.declared_language("html")).first()[0] == "fr"
