@@ -1,7 +1,8 @@
 """Main text of web pages: boosted trees over DOM-node features with hierarchical decoding.
 
 A page is parsed to a tree of elements (implied ends of p, li and the like, void and
-raw-text elements, unclosed elements at the end). Each element gets features of its
+raw-text elements, unclosed elements at the end). A run of text directly in the root,
+html or body is a leaf of its own, judged like an element. Each element gets features of its
 tag, the words of its class, id and role, its depth, its subtree's text and link
 density, and its siblings. Gradient-boosted trees give each element's log odds of
 being part of the article. Decoding then chooses keep or drop for all elements at
@@ -51,6 +52,10 @@ _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _WORD = re.compile(r"[a-z]+")
 
 
+#: The page itself; its elements and runs of text are judged.
+_PAGE = frozenset(("#root", "html", "body"))
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
@@ -60,7 +65,7 @@ class Node:
 
 
 def parse(page: str) -> list[Node]:
-    """Elements in document order; the root is first."""
+    """Elements, and runs of text directly in the page, in document order; the root is first."""
     nodes = [Node("#root", -1)]
     stack = [0]
     at, size = 0, len(page)
@@ -68,7 +73,11 @@ def parse(page: str) -> list[Node]:
 
     def text(upto: int) -> None:
         if upto > at:
-            nodes[stack[-1]].items.append(html.unescape(page[at:upto]))
+            own, run = stack[-1], html.unescape(page[at:upto])
+            if nodes[own].tag in _PAGE and run.strip(" \t\r\n\f\v\xa0\ufeff"):
+                nodes.append(Node("#text", own, items=[run]))
+                run = len(nodes) - 1
+            nodes[own].items.append(run)
 
     while at < size:
         found = search(page, at)
@@ -127,7 +136,7 @@ GROUPS = {
     "main": "main content article post entry story body text page primary maincontent prose",
 }
 _GROUP_OF = {w: g for g, ws in enumerate(GROUPS.values()) for w in ws.split()}
-TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tr td th figure figcaption header footer nav aside form a span b strong i em code label address details".split()
+TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tr td th figure figcaption header footer nav aside form a span b strong i em code label address details #text".split()
 _TAG_OF = {t: i for i, t in enumerate(TAGS)}
 N_GROUPS, N_TAGS = len(GROUPS), len(TAGS)
 
@@ -400,16 +409,58 @@ class Layouts:
         return f'<html data-y="1"><body data-y="1">{before}{body}{after}</body></html>'
 
 
+    def bare(self) -> str:
+        """A page or fragment whose article is text directly in it, with line breaks or blocks between; each run of text is in a RUN element."""
+        pick, chance = self.rng.choice, self.rng.random
+        run = lambda mark, text: self.tag(RUN, mark, text)
+        inline = lambda: self.tag(pick(["a", "b", "em", "i", "strong", "span", "font"]), 1, self.sentence(1, 4))
+        gap = pick(["<br>", "<br><br>", "<br/>\n", "<hr>"])
+        parts = [self.tag(pick(["h1", "h2", "b"]), 1, self.sentence(1, 12)) + "<br>"] if chance() < 0.5 else []
+        for _ in range(self.rng.randrange(1, pick([2, 6, 14]))):
+            text = run(1, self.prose() if chance() < 0.8 else self.sentence(1, 8))
+            if chance() < 0.3:
+                text += " " + inline() + " " + run(1, self.sentence(2, 16))
+            parts.append(text + gap if chance() < 0.8 else text + self.block(1))
+        if chance() < 0.25:
+            parts.insert(self.rng.randrange(len(parts) + 1), self.junk())
+        if chance() < 0.2:
+            return "".join(parts)
+        bars = lambda: pick([" | ", " · ", " - "]).join("\0" for _ in range(self.rng.randrange(2, 7)))
+
+        def menu() -> str:
+            """Links with bare separators between, or a bare line of the site's own."""
+            if chance() < 0.6:
+                pieces = bars().split("\0")
+                return self.tag("a", 0, self.word()).join(run(0, x) if x else "" for x in pieces) + pick(["<br>", "<hr>"])
+            return pick(["<hr>", "<br><br>"]) + run(0, pick(["&copy; ", "Copyright ", ""]) + self.sentence(1, 5)) + self.tag("a", 0, self.word()) + "<br>"
+
+        extra = lambda: "".join(menu() if chance() < 0.4 else self.junk() for _ in range(pick([0, 0, 1, 2])))
+        body = extra() + "".join(parts) + extra()
+        return f'<html data-y="1"><body data-y="1">{body}</body></html>' if chance() < 0.7 else body
+
+
+#: Stands around a run of text directly in a generated page, to carry its mark.
+RUN = "t-run"
+_RUN = re.compile(rf"</?{RUN}\b[^>]*>")
 _MARK = re.compile(r'data-y="(\d)"')
 _TREES: dict[int, Trees] = {}
 
 
+def marked(page: str) -> list[Node]:
+    """The elements of a generated page, RUN elements as the runs of text they stand around."""
+    nodes = parse(page)
+    for x in nodes:
+        if x.tag == RUN:
+            x.tag = "#text"
+    return nodes
+
+
 def train(pages: int = 500, seed: int = 7) -> Trees:
-    """Trees from generated pages; kept, as the same numbers give the same trees."""
+    """Trees from generated pages, and half as many of bare text; kept, as the same numbers give the same trees."""
     if pages not in _TREES:
-        made, xs, ys = Layouts(seed), [], []
-        for _ in range(pages):
-            nodes = parse(made.page())
+        made, bare, xs, ys = Layouts(seed), Layouts(seed + 1), [], []
+        for text in [*(made.page() for _ in range(pages)), *(bare.bare() for _ in range(pages // 2))]:
+            nodes = marked(text)
             marks = [int(m[1]) if (m := _MARK.search(x.attributes)) else -1 for x in nodes]
             keep = np.array(marks) >= 0
             xs.append(node_features(Forest.of([nodes]))[keep])
@@ -418,9 +469,6 @@ def train(pages: int = 500, seed: int = 7) -> Trees:
     return _TREES[pages]
 
 
-_PAGE = frozenset(("#root", "html", "body"))
-
-
 def decode(forest: Forest, odds: np.ndarray) -> np.ndarray:
     """The most likely keep or drop of each element, where nothing below a dropped element is kept."""
     parent, levels = forest.parent, forest.levels
@@ -450,8 +498,7 @@ def text_of(nodes: list[Node], kept: list[bool]) -> str:
         for k in range(at, len(x.items)):
             item = x.items[k]
             if isinstance(item, str):
-                if x.parent >= 0 and x.tag not in ("html", "body"):
-                    blocks[-1].append(item)
+                blocks[-1].append(item)
                 continue
             if nodes[item].tag == "br":
                 blocks[-1].append(" ")

@@ -75,3 +75,28 @@ def test_odd_pages(spark, trees):
     assert len(got) == len(rows) and all(r.text is not None and r.n_chars == len(r.text) for r in got)
     assert [r.text for r in got[:3]] == ["", "", ""]
     assert op.extract(made.limit(0), trees).collect() == []
+
+
+def test_text_directly_in_the_page(trees):
+    one, two, three = (f"{x} paragraph of the story goes on for a while, with some more words. It ends here." for x in ("First", "Second", "Third"))
+    lines = op.main_text(f"<html><body><h1>A title of it</h1>{one}<br><br>{two}<p>{three}</p></body></html>", trees).split("\n")
+    assert one in " ".join(lines) and two in " ".join(lines) and lines[-1] == three
+    assert op.main_text(f"{one}<br>{two}", trees) == f"{one} {two}"
+    assert op.main_text(one, trees) == one
+
+
+def test_generated_bare_layouts(trees):
+    made, right, runs, found = op.Layouts(777), 0, 0, 0
+    for _ in range(80):
+        page = made.bare()
+        nodes, real = op.marked(page), op.parse(op._RUN.sub("", page))
+        assert [x.tag for x in nodes] == [x.tag for x in real]
+        keep = [not (m := op._MARK.search(x.attributes)) or m[1] == "1" for x in nodes]
+        for i, x in enumerate(nodes):
+            keep[i] = keep[i] and (x.parent < 0 or keep[x.parent])
+        right += op.main_text(op._RUN.sub("", page), trees) == op.text_of(nodes, keep)
+        forest = op.Forest.of([real])
+        kept = op.decode(forest, trees.log_odds(op.node_features(forest)))
+        runs += sum(x.tag == "#text" and keep[i] for i, x in enumerate(nodes))
+        found += sum(bool(x.tag == "#text" and keep[i] and kept[i]) for i, x in enumerate(nodes))
+    assert right >= 60 and found >= 0.95 * runs, (right, found, runs)
