@@ -101,3 +101,24 @@ def test_texts_of_one_id(spark, docs):
     made = docs([(1, f"{passage} one", "a"), (1, f"{passage} two more", "a")])
     assert [(r.doc_id, r.first_id, r.start, r.end) for r in op.passages(made).collect()] == [(1, 1, 0, 60)]
     assert sorted(len(r.text.split()) for r in op.remove_repeats(made).collect()) in ([1, 62], [2, 61])
+
+
+def test_removal_on_driver_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    flagged = brute(rows, 50)
+    want = {i: [w for k, w in enumerate((t or "").split()) if k not in flagged.get(i, ())] for i, t in rows}
+    got = {r.doc_id: (r.text or "").split() for r in op.remove_repeats(docs).collect()}
+    assert got == {i: w for i, w in want.items() if w or i not in flagged}
+
+
+def test_clashing_columns(spark, docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    passage = words(rng, 60)
+    made = docs([(1, passage, "a"), (2, f"{passage} tail", "a")])
+    for name in ("_id", "spans", "row", "id", "text_hash", "of_id", "key", "low"):
+        made = made.withColumn(name, F.lit("z"))
+    got = sorted(op.remove_repeats(made).collect(), key=lambda r: r.doc_id)
+    assert [r.text for r in got] == [passage, "tail"] and got[1]["_id"] == got[1]["spans"] == "z" and op.remove_repeats(made).columns == made.columns
