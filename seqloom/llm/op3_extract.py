@@ -42,12 +42,18 @@ NEVER_TEXT = RAW | frozenset("head template svg math object audio video canvas s
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
+FOREIGN = frozenset(("svg", "math"))
 #: An open element of the first kind ends when one of the second begins.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIST_EDGES = frozenset("ul ol dl table menu dir select".split())
 
-_MARKUP = re.compile(r"<!--(?:>|->|.*?-->|.*\Z)|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<[!?/a-zA-Z][^>]*+>", re.S)
+#: Markup at a "<": a comment, a tag whose quoted values may hold ">", an end, anything else of the kind.
+_MARKUP = re.compile(r"<!--(?:>|->|.*?-->|.*\Z)|<([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"']))|(?<!=)[\"'])*+)>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<[!?/a-zA-Z][^>]*+>", re.S)
+#: The same where quotes don't pair up: a tag ends at the next ">".
+_UNQUOTED = re.compile(r"<!--(?:>|->|.*?-->|.*\Z)|<([a-zA-Z][^\s/>]*+)([^>]*+)>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<[!?/a-zA-Z][^>]*+>", re.S)
+#: Elements open at once; one further down stands beside the last of them, as in browsers.
+DEPTH = 512
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _WORD = re.compile(r"[a-z]+")
 
@@ -65,60 +71,74 @@ class Node:
 
 
 def parse(page: str) -> list[Node]:
-    """Elements, and runs of text directly in the page, in document order; the root is first."""
+    """Elements, and runs of text directly in the page, in document order; the root is first.
+
+    Takes time in proportion to the page: past the last ">" nothing is markup, and once a tag's quotes
+    are found not to pair up before the end of the page, quotes no longer hide a ">".
+    """
     nodes = [Node("#root", -1)]
-    stack = [0]
-    at, size = 0, len(page)
-    search = _MARKUP.search
+    stack, names, foreign = [0], ["#root"], 0
+    at, size, last = 0, len(page), page.rfind(">")
+    markup, began = _MARKUP, 0  # the present text's begin
 
     def text(upto: int) -> None:
-        if upto > at:
-            own, run = stack[-1], html.unescape(page[at:upto])
+        if upto > began:
+            own, run = stack[-1], html.unescape(page[began:upto])
             if nodes[own].tag in _PAGE and run.strip(" \t\r\n\f\v\xa0\ufeff"):
                 nodes.append(Node("#text", own, items=[run]))
                 run = len(nodes) - 1
             nodes[own].items.append(run)
 
-    while at < size:
-        found = search(page, at)
-        if found is None:
+    while True:
+        at = page.find("<", at)
+        if at < 0 or (at > last and not page.startswith("<!--", at)):
             text(size)
-            break
-        text(found.start())
-        at = found.end()
+            return nodes
+        found = markup.match(page, at)
+        if found is not None and not found[1] and markup is _MARKUP and page[at + 1].isalpha():
+            markup = _UNQUOTED
+            found = markup.match(page, at)
+        if found is None:
+            at += 1
+            continue
+        text(at)
+        at = began = found.end()
         name, end = found[1], found[3]
         if name:
             name = name.lower()
             if name in ENDS_P:
-                _close(nodes, stack, {"p"}, BLOCKS - {"p"})
+                _close(stack, names, {"p"}, BLOCKS - {"p"})
             if name in IMPLIED:
-                _close(nodes, stack, IMPLIED[name], LIST_EDGES)
+                _close(stack, names, IMPLIED[name], LIST_EDGES)
             nodes.append(Node(name, stack[-1], found[2]))
             me = len(nodes) - 1
             nodes[stack[-1]].items.append(me)
             if name in RAW:
-                ends = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = ends.end() if ends else size
-            elif name not in VOID and not found[2].rstrip().endswith("/"):
-                stack.append(me)
+                ends = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+                close = page.find(">", ends.end()) if ends else -1
+                at = began = close + 1 if close >= 0 else size
+            elif name not in VOID and len(stack) < DEPTH:
+                foreign = foreign or (len(stack) if name in FOREIGN else 0)
+                if not (foreign and found[2].endswith("/")):  # only foreign elements can be closed at once
+                    stack.append(me), names.append(name)
         elif end:
             end = end.lower()
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == end:
-                    del stack[depth:]
+            for depth in range(len(stack) - 1, 0, -1) if end in names else ():
+                if names[depth] == end:
+                    del stack[depth:], names[depth:]
                     break
-                if end not in BLOCKS and nodes[stack[depth]].tag in BLOCKS:
+                if end not in BLOCKS and names[depth] in BLOCKS:
                     break  # an inline end doesn't close blocks
-    return nodes
+        if foreign >= len(stack):
+            foreign = 0
 
 
-def _close(nodes: list[Node], stack: list[int], tags: set[str], edges: frozenset[str]) -> None:
+def _close(stack: list[int], names: list[str], tags: set[str], edges: frozenset[str]) -> None:
     for depth in range(len(stack) - 1, 0, -1):
-        tag = nodes[stack[depth]].tag
-        if tag in tags:
-            del stack[depth:]
+        if names[depth] in tags:
+            del stack[depth:], names[depth:]
             return
-        if tag in edges:
+        if names[depth] in edges:
             return
 
 

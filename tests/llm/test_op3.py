@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -100,3 +101,42 @@ def test_generated_bare_layouts(trees):
         runs += sum(x.tag == "#text" and keep[i] for i, x in enumerate(nodes))
         found += sum(bool(x.tag == "#text" and keep[i] and kept[i]) for i, x in enumerate(nodes))
     assert right >= 60 and found >= 0.95 * runs, (right, found, runs)
+
+
+HAND_MADE = [
+    # Pages without <article>: markup, and the lines of their main text.
+    ("<html><body><div id=top><a href=/>Home</a> <a href=/a>About</a></div><div class=post><h1>Rain in May</h1><p>It rained for most of the month, and the river rose. Nobody was surprised.</p><p>By June the fields were dry again, said the farmers of the valley.</p></div><div class=footer>&copy; 2020 The Paper</div></body></html>", ["Rain in May", "It rained for most of the month, and the river rose. Nobody was surprised.", "By June the fields were dry again, said the farmers of the valley."]),
+    ("<body><ul class=menu><li><a href=1>News</a><li><a href=2>Sport</a></ul><main><h2>A small town</h2><p>The town lies on a hill, above two lakes and a wood.</p><blockquote><p>We like it here, and we stay.</p></blockquote></main><aside><h3>Related</h3><a href=3>More towns</a></aside></body>", ["A small town", "The town lies on a hill, above two lakes and a wood.", "We like it here, and we stay."]),
+    ("<div class=cookie-consent>We use cookies. <a href=x>Settings</a></div><section class=content><p>The first machine was built in a shed, from parts of two others, and it worked.</p><p>The second one, built in a hall, didn't.</p></section><div class=comments><h3>Comments</h3><div class=comment><b>Ann</b><p>I had one of these.</p></div></div>", ["The first machine was built in a shed, from parts of two others, and it worked.", "The second one, built in a hall, didn't."]),
+    ("<table><tr><td class=nav><a href=a>One</a><br><a href=b>Two</a></td><td><h1>On tables</h1><p>Long ago pages were laid out in tables, and some still are. They can be read all the same.</p></td></tr></table>", ["On tables", "Long ago pages were laid out in tables, and some still are. They can be read all the same."]),
+    ("<html><body><h1>Title</h1>First bare paragraph of the page, which goes on for a while.<br><br>Second one, with a comma, and a full stop.<p>Para three of the story, the last one.</p></body></html>", ["Title", "First bare paragraph of the page, which goes on for a while. Second one, with a comma, and a full stop.", "Para three of the story, the last one."]),
+    ("<header><a href=/>Logo</a></header><form class=search><label>Search</label><input name=q></form><div class=entry><h1>Bread</h1><p>Flour, water, salt and time: that is all there is to it.</p><ul><li>Mix them.</li><li>Wait for a day.</li></ul><p>Then bake it, hot, for forty minutes.</p></div><div class=share><a href=f>Share</a></div>", ["Bread", "Flour, water, salt and time: that is all there is to it.", "Mix them.", "Wait for a day.", "Then bake it, hot, for forty minutes."]),
+]
+
+
+def test_hand_made_pages(trees):
+    """Share of lines found among those expected, and of those given that are expected."""
+    hit = wanted = given = 0
+    for page, lines in HAND_MADE:
+        got = op.main_text(page, trees).split("\n")
+        hit, wanted, given = hit + len(set(got) & set(lines)), wanted + len(lines), given + len(got)
+    assert hit >= 0.85 * wanted and hit >= 0.8 * given, (hit, wanted, given)
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, '<a b="' * 200_000, '<a=">"' * 100_000, "<script>" + "</script" * 100_000, "<i>" * 100_000 + "</b>" * 100_000, "<div>" * 100_000 + "x", "<!--" * 200_000])
+def test_parsing_takes_time_in_proportion(page):
+    began = time.process_time()
+    op.parse(page)
+    assert time.process_time() - began < 8
+
+
+def test_markup_as_browsers_read_it():
+    def shape(page):
+        return [(x.tag, x.parent) for x in op.parse(page)[1:]]
+
+    assert shape("<div/><p>a</p>") == [("div", 0), ("p", 1)]  # only foreign elements close themselves
+    assert shape("<svg><path/><path/></svg><p>a</p>") == [("svg", 0), ("path", 1), ("path", 1), ("p", 0)]
+    assert shape("<a href=/x/>a</a><b>c</b>") == [("a", 0), ("b", 0)]
+    assert shape("<a title=it's>a</a><b>c</b>") == [("a", 0), ("b", 0)]
+    assert shape('<p class="a>b">t</p>') == [("p", 0)]
+    assert op.parse("<p>a < b > c</p>")[1].items == ["a < b > c"]
