@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from seqloom.llm import op4_mix as op
 
 
@@ -54,3 +56,35 @@ def test_odd_rows(spark, docs):
 def test_no_python_on_the_main_path(spark, docs):
     plan = op.mix(docs([(1, "a b c", "x"), (2, "d", "y")]))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_repeated_rows_get_their_own_copies(spark, docs):
+    rows = [(None, "a b c", "x")] * 5000 + [(7, "d e", "x"), (7, "f g", "x"), (7, "f g", "y")] + [(i, "w " * (i % 50 + 1), "y") for i in range(100, 400)] + [(None, None, "x")] * 2
+    made = docs(rows)
+    got = op.mix(made).collect()
+    assert len(got) == len(rows) and all(r.taken <= 2 * r.size for r in got)
+    want = targets({"x": 15004, "y": 2 + sum(i % 50 + 1 for i in range(100, 400))})
+    for source, size in (("x", 15004), ("y", None)):
+        taken = sum(r.taken for r in got if (r.source_size == 15004) == (source == "x"))
+        assert abs(taken - want[source]) < 60
+    out = op.take(made).collect()
+    assert abs(sum(len(r.text.split()) for r in out if r.source == "x" and r.text) - want["x"]) < 60
+    assert sum(r.text is None for r in out) == 2
+
+
+def test_take_with_clashing_columns(spark, docs):
+    made = docs([(1, "a b c", "x"), (1, "d", "x"), (None, "e f", "y"), (None, "g", None)])
+    for name in ("_id", "_copies", "row", "id", "key", "of_id", "of_key", "rows", "copies", "place", "place_part"):
+        made = made.withColumn(name, F.lit("z"))
+    out = op.take(made)
+    assert out.columns == made.columns and all(r["place"] == "z" for r in out.collect())
+
+
+def test_many_sources(spark, docs):
+    rows = [(i, "w " * (i % 7 + 1), f"host{i % 900:04d}" if i % 10 else None) for i in range(3000)]
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = targets(dict(sizes))
+    got = {r.doc_id: r.target for r in op.mix(docs(rows)).collect()}
+    assert all(abs(got[i] - want[s]) < 1e-6 * max(1, want[s]) for i, _, s in rows)
