@@ -15,7 +15,9 @@ Defined results: vectors that are null, empty or hold null or non-finite compone
 take no part; only vectors of equal dimension are compared; ties go to the smaller
 id; fewer candidates than k give all. A query's own row is left out by its id, so
 rows that repeat an id are not candidates of each other. A repeated query row is one
-query. Components are taken to be below 2**31 / scale, so that scores are exact.
+query. Scores are 64-bit: components so large that a score might not fit raise an
+OverflowError before anything is searched. Sums that prove a bound are in doubles; a
+slack larger than their rounding is added, so no proof rests on a rounded digit.
 """
 
 from __future__ import annotations
@@ -44,9 +46,9 @@ def index(blocks: DataFrame, scale: int) -> DataFrame:
                 dim = batch.column(0)[i].as_py()
                 whole = np.floor(np.frombuffer(batch.column(3)[i].as_py(), np.float64).reshape(-1, dim) * scale).astype(np.int64)
                 order = np.argsort(-whole, axis=0, kind="stable").T.astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "block": pa.array([batch.column(1)[i].as_py()], pa.int32()), "ids": pa.array([batch.column(2)[i].as_py()], pa.binary()), "whole": pa.array([whole.tobytes()], pa.binary()), "postings": pa.array([order.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "block": pa.array([batch.column(1)[i].as_py()], pa.int32()), "ids": pa.array([batch.column(2)[i].as_py()], pa.binary()), "a": pa.array([whole.tobytes()], pa.binary()), "b": pa.array([order.tobytes()], pa.binary()), "c": pa.array([b""], pa.binary())})
 
-    return blocks.mapInArrow(run, "dim int, block int, ids binary, whole binary, postings binary")
+    return blocks.mapInArrow(run, "dim int, block int, ids binary, a binary, b binary, c binary")
 
 
 class Block:
@@ -80,6 +82,7 @@ class Block:
         exact = np.zeros(n, bool)
         scores = np.full(n, -(2**62))
         bound, at, limit = float(most.sum()), 0, max(4 * k, int(FEW * n))
+        bound += (abs(bound) + float(short.max(initial=0)) * dims) * dims * 2.0**-50  # above the rounding of the sums
 
         def score(which: np.ndarray) -> None:
             scores[which] = self.whole[which] @ query
@@ -117,30 +120,29 @@ class Block:
 def exact_search(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 100, k: int = 10, scale: int = 1024) -> DataFrame:
     """``(query_id, rank, vec_id, score long)`` for the rows whose id is divisible by ``every``."""
     vectors = usable(df, id_column, vector_column, zero_too=True)
-    n, asked = vectors.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
+    n, asked, fits = vectors.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max(F.pow(scale * F.array_max(F.transform("v", F.abs)) + 1, 2) * F.col("dim"))).first()
+    if (fits or 0) >= 2.0**62:
+        raise OverflowError("components too large: scores might not fit 64 bits")
     blocks = block_count(n)
     built = checkpoint(index(packed(vectors, blocks), scale))
 
     def make():
-        last: list = [None, None]
+        def opening(dim: int, ids: bytes, whole: bytes, postings: bytes, _: bytes) -> Block:
+            return Block(np.frombuffer(ids, np.int64), np.frombuffer(whole, np.int64).reshape(-1, dim), np.frombuffer(postings, np.int32).reshape(dim, -1))
 
-        def best(row: dict, ids: np.ndarray, q: np.ndarray):
-            key = row["dim"], row["block"]
-            if last[0] != key:
-                own = np.frombuffer(row["ids"], np.int64)
-                last[:] = key, Block(own, np.frombuffer(row["whole"], np.int64).reshape(-1, row["dim"]), np.frombuffer(row["postings"], np.int32).reshape(row["dim"], -1))
+        def best(block: Block, ids: np.ndarray, q: np.ndarray):
             whole = np.floor(q * scale).astype(np.int64)
             asked, found, scores = [], [], []
             for i, own in enumerate(ids.tolist()):
-                where, score = last[1].best(whole[i], own, k)
+                where, score = block.best(whole[i], own, k)
                 asked.append(np.full(len(where), own))
-                found.append(last[1].ids[where])
+                found.append(block.ids[where])
                 scores.append(score)
             return np.concatenate(asked), np.concatenate(found), np.concatenate(scores)
 
-        return best
+        return opening, best
 
-    queries = vectors.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]) if asked else vectors.filter("vec_id % 1 = 1")
+    queries = vectors.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
     return search(built, blocks, queries, asked, make, k, "long")
 
 

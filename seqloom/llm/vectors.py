@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import partitions
+
 #: Vectors of a packed block and queries of a query block, about.
 BLOCK, QUERIES = 8192, 512
 
@@ -38,28 +40,36 @@ def packed(vectors: DataFrame, blocks: int) -> DataFrame:
     return placed.groupBy("dim", "block").applyInArrow(pack, "dim int, block int, ids binary, vecs binary")
 
 
-def search(index: DataFrame, blocks: int, queries: DataFrame, n_queries: int, make: Callable[[], Callable], k: int, kind: str) -> DataFrame:
+def search(index: DataFrame, blocks: int, queries: DataFrame, n_queries: int, make: Callable[[], tuple[Callable, Callable]], k: int, kind: str) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k best over all blocks of its dimension.
 
-    ``index`` has columns dim, block and what ``make()``'s function takes as a row's dict; the
-    function gets ``(row, query ids, query matrix)`` and gives arrays ``(query_id, vec_id, score)`` with
-    each query's best of the block. Query blocks go to the index blocks, not the other way: they are
-    the smaller side, and no block is held by more than one row.
+    ``index`` has columns dim, block, ids and the payloads a, b, c; ``make()`` gives two functions: of
+    ``(dim, ids, a, b, c)`` to an opened block, and of ``(opened block, query ids, query matrix)`` to arrays
+    ``(query_id, vec_id, score)`` with each query's best of the block. Blocks of queries are sent to every
+    index block of their dimension. A task reads an index block once, ahead of the query blocks sent to it,
+    and holds that one and a query block at a time. Each query meets each vector: the work is their product.
     """
     parts = max(1, -(-n_queries // QUERIES))
-    asked = packed(queries, parts).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q_block"))
-    pairs = index.join(asked, (F.col("dim") == F.col("q_dim")) & (F.col("block") == F.col("q_block"))).drop("q_block", "q_dim")
+    none = F.lit(None).cast("binary")
+    held = index.select("dim", "block", F.lit(-1).alias("part"), "ids", "a", "b", "c")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("to_block")
+    asked = packed(queries, parts).select("dim", F.col("block").alias("part"), "ids", "vecs", every).select("dim", F.col("to_block").alias("block"), "part", "ids", F.col("vecs").alias("a"), none.alias("b"), none.alias("c"))
+    rows = held.union(asked).repartition(partitions(index.sparkSession), "dim", "block").sortWithinPartitions("dim", "block", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = make()
+        opening, best = make()
+        at = opened = None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {name: batch.column(c)[i].as_py() for c, name in enumerate(batch.schema.names)}
-                q = np.frombuffer(row["q_vecs"], np.float64).reshape(-1, row["dim"])
-                asked, found, score = best(row, np.frombuffer(row["q_ids"], np.int64), q)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(asked, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score)})
-
-    found = pairs.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+                dim, block, part, ids, *payload = (column[i].as_py() for column in batch.columns)
+                if part < 0:
+                    at, opened = (dim, block), opening(dim, ids, *payload)
+                elif at == (dim, block):  # no vector has the query's dimension and hash otherwise
+                    q = np.frombuffer(payload[0], np.float64).reshape(-1, dim)
+                    asked, found, score = best(opened, np.frombuffer(ids, np.int64), q)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(found, pa.int64()), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    found = rows.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", place.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

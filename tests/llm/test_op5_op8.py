@@ -52,7 +52,7 @@ def test_exact_block_with_ties_and_signs():
 
 def test_approximate(spark):
     rows = some(4000, 32, 2) + [(9000 + i, [0.25] * 32) for i in range(60)]
-    got = op5_aq.nearest(frame(spark, rows), rerank=200).collect()
+    got = op5_aq.nearest(frame(spark, rows), rerank=0.05).collect()
     want = brute(rows, 20, 20)
     hit = len({(r.query_id, r.vec_id) for r in got} & {(q, i) for q, _, i, _ in want})
     assert len(got) == len(want) and hit >= 0.9 * len(want)
@@ -86,3 +86,29 @@ def test_driver_table(spark):
     near = {(r.query_id, r.vec_id) for r in op5_aq.op5_aq(spark, "/root/testdata/sf0.001").collect()}
     want = {(q, i) for q, _, i, _ in brute(rows, 20, 20)}
     assert len(near & want) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("n", [100, 1500])
+def test_small_tables_are_searched_by_their_codes(spark, n):
+    """Well under all rows are scored exactly, and recall holds."""
+    rows = some(n, 32, 9)
+    got = {(r.query_id, r.vec_id) for r in op5_aq.nearest(frame(spark, rows), every=5).collect()}
+    want = {(q, i) for q, _, i, _ in brute(rows, 5, 20)}
+    assert max(2 * 20, n / 16) + 1 < n / 2 and len(got & want) >= 0.9 * len(want)
+
+
+def test_dimensions_outside_the_sample_have_books(spark):
+    rows = some(900, 16, 3) + [(1000 + i, v) for i, v in some(80, 24, 4)]
+    got = {(r.query_id, r.vec_id) for r in op5_aq.nearest(frame(spark, rows), sample=600, k=10).collect()}
+    want = {(q, i) for q, _, i, _ in brute(rows, 20, 10)}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_scores_that_fit_and_scores_that_do_not(spark):
+    large = 2.0**18
+    rows = [(0, [large] * 16), (1, [-large] * 16), (2, [large] * 15 + [-large]), (3, [1.0] * 16)]
+    got = [(r.vec_id, r.score) for r in sorted(op8_exact.exact_search(frame(spark, rows)).collect(), key=lambda r: r.rank)]
+    side = 1024 * 2**18
+    assert got == [(2, 14 * side**2), (3, 16 * side * 1024), (1, -16 * side**2)]
+    with pytest.raises(OverflowError):
+        op8_exact.exact_search(frame(spark, [(0, [2.0**21] * 16), (1, [-(2.0**21)] * 16)]))
