@@ -14,9 +14,11 @@ it by a chain of links) and its number of links (other documents whose Jaccard
 similarity is at least the threshold).
 
 Defined results: null, empty and blank texts have no n-grams: their class is their
-own id and they have no links. Rows with the same id are documents of their own and
-stay rows of their own. A null id gives a null class unless the class holds another
-id. An empty table gives an empty result; further columns are ignored.
+own id and they have no links. Rows with the same id, or none, are documents of their
+own and stay rows of their own: rows are told by their id and a hash of their text,
+never by the id alone. A null id gives a null class unless the class holds another
+id. An empty table gives an empty result; further columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import NULL_ID, checkpoint, components, map_batches, mix64, partitions, table, texts_of, window_hashes, word_hashes
+from seqloom.llm.common import NULL_ID, checkpoint, components, map_batches, mix64, partitions, row_id, spread_join, table, text_hash, texts_of, whole_rows, window_hashes, word_hashes
 
 #: Representatives in a block, and characters of theirs, at most about.
-BLOCK_ROWS = 128
+BLOCK_ROWS = 256
 BLOCK_CHARS = 4_000_000
 
 
@@ -68,7 +70,7 @@ def signature(own: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """``(doc_id, fp binary, chars, bands array<long>)``."""
+    """``(id, text_hash, fp binary, chars, bands array<long>)`` of ``docs(id, text_hash, text)``."""
 
     def make():
         rng = np.random.default_rng(5)
@@ -77,7 +79,7 @@ def features(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             prints, keys, offsets, chars = [], [], [0], []
-            for text in texts_of(batch.column(1)):
+            for text in texts_of(batch.column(2)):
                 own = shingles(text, n)
                 prints.append(fingerprint(own))
                 chars.append(len(text))
@@ -87,11 +89,11 @@ def features(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 offsets.append(offsets[-1] + bands * (len(own) > 0))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
-            return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(prints, pa.binary()), "chars": pa.array(chars, pa.int64()), "bands": lists})
+            return pa.RecordBatch.from_pydict({"id": batch.column(0), "text_hash": batch.column(1), "fp": pa.array(prints, pa.binary()), "chars": pa.array(chars, pa.int64()), "bands": lists})
 
         return run
 
-    return map_batches(docs, make, "doc_id long, fp binary, chars long, bands array<long>")
+    return map_batches(docs, make, "id long, text_hash long, fp binary, chars long, bands array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
@@ -173,24 +175,28 @@ def verified(pairs: DataFrame, n: int, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "fp binary, links long, root binary")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:
-    """``(doc_id, class_id, n_links)``, a row a row of ``docs``."""
+def rows_in_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:
+    """``(id, text_hash, first, class_id, n_links)``, a row a row of ``docs``; ``first`` says whether the row, or one equal to it, is the first of its class."""
     bands, rows = choose_bands(threshold, recall)
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = docs.select(row_id().alias("id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
     found = checkpoint(features(plain, n, bands, rows))
     some = F.length("fp") > 0
-    reps = checkpoint(found.filter(some).groupBy("fp").agg(F.coalesce(F.min(F.nullif("doc_id", F.lit(NULL_ID))), F.lit(NULL_ID)).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("chars").alias("chars"), F.first("bands").alias("bands")))
+    own_rows = F.struct((F.col("id") == NULL_ID).alias("none"), "id", "text_hash")  # rows with an id come first
+    reps = checkpoint(found.filter(some).groupBy("fp").agg(F.min(own_rows).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("chars").alias("chars"), F.first("bands").alias("bands")))
     held = reps.select("fp", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "fp")
-    shared = held.groupBy("bucket").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("bucket").alias("b"), "least")
+    shared = checkpoint(held.groupBy("bucket").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("bucket").alias("b"), "least", "n"))
     # Each set points to the least of its buckets' least sets, and that joins the others: as these are shared by many, few distinct edges are left.
-    met = held.join(shared, F.col("bucket") == F.col("b")).groupBy("fp").agg(F.array_sort(F.collect_set("least")).alias("leasts"))  # one a band at most
+    met = spread_join(held, shared.drop("n"), "bucket", "b", counts=shared.select(F.col("b").alias("key"), "n"))
+    met = met.groupBy("fp").agg(F.array_sort(F.collect_set("least")).alias("leasts"))  # one a band at most
     edges = met.select(F.explode(F.concat(F.array("fp"), F.slice("leasts", 2, bands))).alias("a"), F.col("leasts")[0].alias("b")).filter("a <> b").distinct()
     grouped = components(edges).withColumnRenamed("node", "fp")
-    sized = grouped.join(reps.select("fp", "rep", "copies", "chars"), "fp")
-    blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    wanted = placed.select(F.col("rep").alias("doc_id"), "fp", "copies", "root", "blocks", "own")
-    texts = wanted.join(plain, "doc_id")
+    sized = checkpoint(grouped.join(reps.select("fp", "rep", "copies", "chars"), "fp"))
+    blocks = checkpoint(sized.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks")))
+    placed = spread_join(sized, blocks.select(F.col("root").alias("of_root"), "blocks"), "root", "of_root", counts=blocks.select(F.col("root").alias("key"), "n"))
+    wanted = placed.select(F.col("rep.id").alias("id"), F.col("rep.text_hash").alias("text_hash"), "fp", "copies", "root", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("own"))
+    if found.groupBy("id", "text_hash").count().filter("count > 1").limit(1).count():
+        plain = plain.groupBy("id", "text_hash").agg(F.first("text").alias("text"))  # equal rows: one text of them
+    texts = wanted.join(plain, ["id", "text_hash"])
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = texts.select("fp", "copies", "root", "own", "text", every).select("fp", "copies", "root", "own", "text", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     tasks = paired.repartition(partitions(docs.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j")
@@ -199,20 +205,33 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     links = linked.groupBy("fp").agg(F.sum("links").alias("links"))
     joined = reps.select("fp", "rep", "copies").join(links, "fp", "left").join(whole.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     joined = checkpoint(joined)
-    ids = joined.groupBy("root").agg(F.min(F.when(F.col("rep") != NULL_ID, F.col("rep"))).alias("class_id"))
-    final = joined.join(ids, "root").select(F.col("fp").alias("f"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    real = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
-    out = found.filter(some).select("doc_id", "fp").join(final, F.col("fp") == F.col("f")).select(real.alias("doc_id"), "class_id", "n_links")
-    return out.union(found.filter(~some).select(real, real, F.lit(0).cast("long")))
+    firsts = checkpoint(joined.groupBy(F.col("root").alias("of_root")).agg(F.min("rep").alias("first_row"), F.count(F.lit(1)).alias("n")))
+    final = spread_join(joined, firsts.drop("n"), "root", "of_root", counts=firsts.select(F.col("of_root").alias("key"), "n"))
+    final = checkpoint(final.select(F.col("fp").alias("of_fp"), "first_row", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    known = spread_join(found.filter(some).select("id", "text_hash", "fp"), final, "fp", "of_fp", counts=reps.select(F.col("fp").alias("key"), F.col("copies").alias("n")))
+    is_first = (F.col("id") == F.col("first_row.id")) & (F.col("text_hash") == F.col("first_row.text_hash"))
+    out = known.select("id", "text_hash", is_first.alias("first"), _real(F.col("first_row.id")).alias("class_id"), "n_links")
+    return out.union(found.filter(~some).select("id", "text_hash", F.lit(None).cast("boolean"), _real(F.col("id")), F.lit(0).cast("long")))
+
+
+def _real(value: Column) -> Column:
+    return F.when(value != NULL_ID, value)
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:
+    """``(doc_id, class_id, n_links)``, a row a row of ``docs``."""
+    return rows_in_classes(docs, threshold, n, recall).select(_real(F.col("id")).alias("doc_id"), "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose id is that of their class: one document of each class stays."""
-    found = checkpoint(classes(docs, threshold, n))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept"))
-    out = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.count() > kept.distinct().count():
-        out = out.dropDuplicates(["doc_id", "text"])
+    """One row of each class, the first by id and text (rows without an id last), and every row without words."""
+    kept = rows_in_classes(docs, threshold, n).filter(F.coalesce("first", F.lit(True)))
+    kept = checkpoint(kept.groupBy(F.col("id").alias("of_id"), F.col("text_hash").alias("of_text")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("first").isNull()).alias("wordless")))
+    one = F.col("wordless") | (F.col("n") == 1)
+    joined = whole_rows(docs).join(kept, (F.col("id") == F.col("of_id")) & (F.col("text_hash") == F.col("of_text")))
+    out = joined.filter(one).select("row.*")
+    if kept.filter(~one).limit(1).count():  # rows of equal id and text
+        out = out.union(joined.filter(~one).dropDuplicates(["id", "text_hash"]).select("row.*"))
     return out
 
 

@@ -1,5 +1,9 @@
 import random
+import time
 
+from pyspark.sql import functions as F
+
+from seqloom.llm import common
 from seqloom.llm import op2_jaccard as op
 from tests_llm_util import words
 
@@ -76,3 +80,31 @@ def test_empty(spark, docs):
 def test_bands_reach_recall():
     bands, rows = op.choose_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
+
+
+def test_many_rows_without_ids(spark, docs):
+    """Work grows with the rows, not with their square, though all ids are the same."""
+    rng = random.Random(9)
+    rows = [(None, words(rng, 9), "s") for _ in range(6000)] + [(None, "a b c d e f g", "s")] * 500 + [(3, "a b c d e f g", "s"), (3, "A b c d e f g", "s"), (3, "other words of this id", "s")]
+    made = docs(rows).repartition(4)
+    began = time.time()
+    got = op.classes(made).collect()
+    assert time.time() - began < 120 and len(got) == len(rows)
+    kept = op.keep_one(made).collect()
+    assert sum(r.doc_id == 3 for r in kept) == 2 and sum(r.text.lower() == "a b c d e f g" for r in kept) == 1
+    assert len(kept) == len({t.lower() for _, t, _ in rows})
+
+
+def test_clashing_columns(spark, docs):
+    made = docs([(1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (3, "", "s"), (3, "", "s"), (4, None, None)])
+    for name in ("_kept", "row", "id", "text_hash", "of_id", "n", "first", "wordless", "class_id", "rep", "root"):
+        made = made.withColumn(name, F.lit("z"))
+    got = op.keep_one(made).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3, 3, 4] and op.keep_one(made).columns == made.columns and got[0]["root"] == "z"
+
+
+def test_hot_keys_are_spread(spark, docs, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rng = random.Random(14)
+    texts = near_copies(rng, words(rng, 150), 30, 2) + [words(rng, 50)] * 40 + [words(rng, 30) for _ in range(20)]
+    assert sorted(map(tuple, op.classes(docs(texts)).collect())) == brute(list(enumerate(texts)))
