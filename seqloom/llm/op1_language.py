@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm.common import checkpoint, map_batches, table, texts_of
+from seqloom.llm.common import checkpoint, map_batches, spread_join, table, texts_of
 
 BUCKETS = 1 << 16
 #: A text of n trigrams counts as n ** TEMPER independent ones.
@@ -127,12 +127,15 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     everything = [(x or 0.0) + 1.0 for x in whole]
     total = sum(everything)
     shares = [x / total for x in everything]
-    sites = rows.filter("site is not null").groupBy("site").agg(*_sums("s", n))
-    hosts = rows.filter("host is not null").groupBy("host").agg(F.first("site").alias("_site"), *_sums("h", n))
-    hosts = hosts.join(sites.withColumnRenamed("site", "_site"), "_site", "left").withColumnRenamed("host", "_host").drop("_site")
+    sites = checkpoint(rows.filter("site is not null").groupBy(F.col("site").alias("_of_site")).agg(*_sums("s", n)))
+    hosts = checkpoint(rows.filter("host is not null").groupBy(F.col("host").alias("_host")).agg(F.first("site").alias("_site"), *_sums("h", n)))
+    hosts = checkpoint(spread_join(hosts, sites, "_site", "_of_site", "left").drop("_site", "_of_site"))
     suffixes = rows.filter("suffix is not null").groupBy(F.col("suffix").alias("_suffix")).agg(*_sums("u", n))
     declared = rows.filter("declared is not null").groupBy(F.col("declared").alias("_declared")).agg(*_sums("d", n))
-    joined = rows.join(hosts, F.col("host") == F.col("_host"), "left").join(suffixes, F.col("suffix") == F.col("_suffix"), "left").join(declared, F.col("declared") == F.col("_declared"), "left")
+    joined = rows
+    for own, sums in (("host", hosts), ("suffix", checkpoint(suffixes)), ("declared", checkpoint(declared))):
+        counts = rows.groupBy(F.col(own).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        joined = spread_join(joined, sums, own, f"_{own}", "left", counts)  # one host, suffix or language may be that of most rows
 
     def without_own(name: str) -> list[Column]:
         return [F.greatest(F.coalesce(F.col(f"{name}{i}") - F.col("p")[i], F.lit(0.0)), F.lit(0.0)) for i in range(n)]
