@@ -109,20 +109,24 @@ def decide(docs: DataFrame, key: Column, weights: tuple[float, ...], share: floa
     Rows of equal id, source, size and ``key`` are a unit.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words("text").alias("size"), key.alias("key"))
-    units = checkpoint(sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("rows")))
+    units = checkpoint(sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("rows")).withColumn("h", F.xxhash64(F.lit(SEED), "doc_id", "size")))
+    # Units of one id and size are told apart by their key; the others don't depend on it.
+    alike = checkpoint(units.groupBy(F.col("h").alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    if alike.limit(1).count():
+        told = spread_join(units, alike.select(F.col("key").alias("of_h")), "h", "of_h", "left", counts=alike)
+        units = checkpoint(told.withColumn("h", F.when(F.col("of_h").isNull(), F.col("h")).otherwise(F.xxhash64("h", "key"))).drop("of_h"))
     targets = checkpoint(source_targets(units.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, share, most))
     largest = targets.agg(F.max("documents")).first()[0] or 0
     named = F.concat(F.when(F.col("source").isNull(), "").otherwise("s"), F.coalesce("source", F.lit("")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     expected = F.when(F.col("size") > 0, rate).otherwise(1.0) * F.col("rows")
     own = spread_join(units.withColumn("of", named).drop("source"), targets.withColumn("named", named).drop("source"), "of", "named", counts=targets.select(named.alias("key"), F.col("documents").alias("n")))
-    own = own.select("doc_id", "key", "size", "rows", "source_size", "target", "documents", "named", F.floor(expected).alias("whole"), (expected - F.floor(expected)).alias("p"))
+    own = own.select("h", "doc_id", "key", "size", "rows", "source_size", "target", "documents", "named", F.floor(expected).alias("whole"), (expected - F.floor(expected)).alias("p"))
     undecided = (F.col("size") > 0) & (F.col("p") > 0)
     source = ["named", "source_size", "target"]
     kept = ["key", "rows", "whole"]
-    h = F.xxhash64(F.lit(SEED), "doc_id", "size", "key")
     blocks = F.ceil(F.col("documents") / BLOCK)
-    level = own.filter(undecided).select(*source, F.pmod(h, blocks).alias("block"), F.struct(h.alias("h"), "doc_id", "size", "p", F.struct(*kept).alias("unit")).alias("x"))
+    level = own.filter(undecided).select(*source, F.pmod("h", blocks).alias("block"), F.struct("h", "doc_id", "size", "p", F.struct(*kept).alias("unit")).alias("x"))
 
     def rows(df: DataFrame, unit: Column, doc_id: Column, size: Column, bit: Column) -> DataFrame:
         return df.select(doc_id.alias("doc_id"), unit["key"].alias("key"), size.alias("size"), unit["rows"].alias("rows"), "source_size", "target", (unit["whole"] + bit).alias("copies"))
