@@ -1,7 +1,12 @@
 import inspect
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seqloom.llm import op2_jaccard, op4_mix, op7_bpe, op9_toxicity, op10_repeats
+from tests_llm_util import words
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +46,30 @@ def test_empty(spark, docs):
         out = stage(spark, rows, SF)
         assert out.count() == 0
         rows = spark.createDataFrame([], out.schema)
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark, docs):
+    """Every stage on rows without ids, ids of several texts, equal rows, odd texts and names the stages use."""
+    rng = random.Random(15)
+    passage = words(rng, 60)
+    rows = [(None, f"{words(rng, 12)}", "a") for _ in range(40)] + [(None, f"{passage} {words(rng, 20)}", "b"), (None, f"{passage} {words(rng, 30)}", None), (None, None, None), (None, "", "a")]
+    rows += [(1, words(rng, 30), "a"), (1, words(rng, 30), "b"), (2, passage, "a"), (2, passage, "a"), (3, "x" * 4000, "b"), (4, words(rng, 9000), None)]
+    made = docs(rows)
+    for name in ("_id", "_kept", "_spans", "_copies", "row", "id", "key", "text_hash", "spans", "worst", "of_id"):
+        made = made.withColumn(name, F.lit("z"))
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, made, SF)
+        got = out.collect()
+        if name == "encoding":
+            assert len(got) == len(rows)
+            continue
+        assert out.columns == made.columns and all(r["_id"] == r["worst"] == "z" for r in got)
+        texts = [r.text for r in got]
+        if name == "near_duplicates":
+            assert len(got) == len(rows) - 1 and sorted(r.doc_id or 0 for r in got if r.doc_id) == [1, 1, 2, 3, 4]
+        if name == "repeats":
+            assert sum((t or "").split().count(passage.split()[0]) >= 1 and passage in (t or "") for t in texts) == 1 + (texts.count(passage) == 2)
+        if name == "mixing":
+            assert None in texts and "" in texts
+    model = op9_toxicity.Model(np.zeros(op9_toxicity.CODES), -1.0, 1.0, 0.5)
+    assert op9_toxicity.keep_clean(made, model).count() == len(rows)
