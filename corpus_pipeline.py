@@ -3,6 +3,13 @@
 Toxic documents go, one document of each near-duplicate group stays, passages that
 repeat are kept once, sources are mixed to target weights (a document comes out as
 often as the mix takes it), and what is left is encoded.
+
+Defined results: rows are told by their id and text (in mixing, all columns), never by
+the id alone, so null and repeated ids lose and change nothing; wholly equal rows are
+one document that may come out more than once. A null or empty text isn't toxic, repeats
+nothing, stays once a row through mixing and has no tokens. A null source is a source of
+its own. An empty table gives an empty result. Further columns are carried on to the
+last stage, whatever their names. Very long texts are read whole in every stage.
 """
 
 from __future__ import annotations
@@ -42,12 +49,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what a stage returns is written as Parquet to the shared folder and reread."""
+    """All stages; what a stage returns is written as Parquet to the shared folder and reread.
+
+    A stage's folder goes once the next one's is written; the last one is what the result is read from.
+    """
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(path := f"{folder}/{k}-{name}")
             docs = spark.read.parquet(path)
+            if before:
+                common.remove(spark, before)
+            before = path
     return docs
