@@ -15,6 +15,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """A derived column for ``select`` that is computed once a row, whatever uses it: filters and projections don't pass a generator, so Catalyst can't copy the expression into each use."""
+    return F.explode(F.array(value))
+
+
 def complement(bases: Column) -> Column:
     return F.translate(bases, SYMBOLS, COMPLEMENTS)
 
@@ -49,8 +54,8 @@ def kmers(bases: Column, k: int, step: int = 1) -> Column:
 
 
 def defined_kmers(bases: Column, k: int) -> Column:
-    """The k-mers of A, C, G and T alone."""
-    return F.filter(kmers(bases, k), lambda x: x.rlike(f"^[ACGT]{{{k}}}$"))
+    """The k-mers of A, C, G and T alone: those of each run of defined symbols."""
+    return F.flatten(F.transform(F.split(bases, "[^ACGT]+"), lambda run: kmers(run, k)))
 
 
 def packed_kmer(kmer: Column) -> Column:
@@ -102,8 +107,7 @@ def entropy(counts: Column, total: Column) -> Column:
 
 def mean_kmer_entropy(bases: Column, k: int = 1, alphabet: tuple[str, ...] = ("A", "C", "G", "T")) -> Column:
     """Entropy of a whole sequence's symbols, normalised by the logarithm of their number."""
-    counts = F.array(*[count_of(bases, a) for a in alphabet])
-    return entropy(counts, F.aggregate(counts, F.lit(0), lambda s, n: s + n))
+    return let(F.array(*[count_of(bases, a) for a in alphabet]), lambda counts: entropy(counts, F.aggregate(counts, F.lit(0), lambda s, n: s + n)))
 
 
 def left_trim_run(quals: Column, threshold: int, good: int = 2) -> Column:

@@ -11,10 +11,13 @@ from seqloom.functions import sequence as S
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder; a temporary one only if none is set."""
+    """A checkpoint in the shared folder; where none is set, in a temporary one on a local master, and an error on a cluster."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp())
     done = df.checkpoint(eager=True)
     return done.select(*[F.col(c).alias(c) for c in done.columns])  # fresh columns: a union of a frame with its own self-join needs them
 

@@ -89,23 +89,27 @@ def mask(bases: Column, start: Column, stop: Column, symbol: str = "N") -> Colum
 
 
 def name_filter(rows: DataFrame, names: DataFrame, name: str, include: bool = True, mode: str = "exact", ignore_case: bool = False) -> DataFrame:
-    """Rows whose name is in (or starts with, or holds) one of ``names(name)``.
+    """Rows whose name is in (``exact``), starts with (``prefix``) or holds (``contains``) one of ``names(name)``; rows stay as often as they are.
 
-    Exact and prefix names are equi-joins: a prefix meets as many keys as there are lengths of names.
+    All are equi-joins over distinct names: a prefix meets as many keys as there are lengths of names; a
+    part meets where a run of symbols as long as the shortest name is shared, and is then looked for in full.
     """
     fold = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
-    wanted = names.select(fold(F.col("name")).alias("_n")).distinct()
-    how = "left_semi" if include else "left_anti"
+    wanted = names.select(fold(F.col("name")).alias("_n")).filter("_n is not null").distinct()
     key = fold(F.col(name))
-    if mode == "exact":
-        return rows.join(wanted, key == F.col("_n"), how)
-    if mode == "prefix":
-        wanted = wanted.withColumn("_len", F.length("_n"))
-        lengths = [r[0] for r in wanted.select("_len").distinct().collect()]  # as many as names have lengths
-        tries = rows.select("*", F.explode(F.array(*[F.lit(x) for x in sorted(lengths)]) if lengths else F.array().cast("array<int>")).alias("_l"))
-        hit = tries.join(wanted, (F.col("_l") == F.col("_len")) & (F.substring(key, F.lit(1), F.col("_l")) == F.col("_n")), "left_semi").select(*rows.columns).distinct()
-        return hit if include else rows.exceptAll(hit)
-    return rows.join(wanted, key.contains(F.col("_n")), how)
+    if mode != "exact":
+        keys = rows.select(key.alias("_key")).filter("_key is not null").distinct()
+        lengths = sorted(r[0] for r in wanted.select(F.length("_n")).distinct().collect())  # as many as names have lengths
+        if mode == "prefix":
+            tries = keys.select("_key", F.explode(F.array(*[F.substring("_key", 1, x) for x in lengths]) if lengths else F.array().cast("array<string>")).alias("_try"))
+            met = tries.join(wanted, F.col("_try") == F.col("_n"))
+        else:
+            q = lengths[0] if lengths else 1
+            places = F.sequence(F.lit(1), F.greatest(F.length("_key") - q + 1, F.lit(1)))
+            tries = keys.select("_key", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("_key", i, F.lit(q))))).alias("_try"))
+            met = tries.join(wanted, (F.substring("_n", 1, q) == F.col("_try")) & F.col("_key").contains(F.col("_n")))
+        wanted = met.select(F.col("_key").alias("_n")).distinct()
+    return rows.join(wanted, key == F.col("_n"), "left_semi" if include else "left_anti")
 
 
 def numbered(rows: DataFrame, order: list[Column], out: str) -> DataFrame:

@@ -39,15 +39,9 @@ def normalise_variants(t):
     return p.select("p_partkey", v.alias("v")).select("p_partkey", "v.pos", "v.ref", "v.alt")
 
 
-@query("SELECT doc_id, CAST(i AS INTEGER) AS allele, alt FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS alt FROM (SELECT doc_id, string_split(split_part(text, '.', 1), ',') AS l FROM documents))")
+@query("SELECT doc_id, CAST(i AS INTEGER) AS allele, alt FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS alt FROM (SELECT doc_id, string_split(text, ',') AS l FROM documents))")
 def split_alleles(t):
-    rows = t("documents").select("doc_id", F.split_part("text", F.lit("."), F.lit(1)).alias("alt"))
-    return G.split_alleles(rows).select("doc_id", "allele", "alt")
-
-
-@query()
-def split_alleles_whole(t):
-    """Every piece between commas of the whole text, where split_alleles and its SQL read up to the first full stop; tested against Python."""
+    """Every piece between commas of the whole text."""
     return G.split_alleles(t("documents").select("doc_id", F.col("text").alias("alt"))).select("doc_id", "allele", "alt")
 
 

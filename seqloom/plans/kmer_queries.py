@@ -8,6 +8,7 @@ from seqloom.functions import sequence as S
 from seqloom.operators import aggregates as A
 from seqloom.operators import graphs as G
 from seqloom.operators import kmers as K
+from seqloom.operators import packed as P
 from seqloom.operators import sets as T
 from seqloom.plans.registry import READS, WORDS, kmer_sql, query, reads, words
 
@@ -18,6 +19,11 @@ def k8(column: str = "bases"):
     return S.defined_kmers(F.col(column), 8)
 
 
+def named(counted, k: int):
+    """Counts of packed k-mers with their strings."""
+    return counted.select(S.unpacked_kmer(F.col("key"), k).alias("kmer"), "n")
+
+
 def grams(n: int):
     """Runs of n words, joined by spaces."""
     def all_of(w):
@@ -27,6 +33,15 @@ def grams(n: int):
     return S.let(F.col("w"), all_of)
 
 
+def gram_hashes(n: int):
+    """64-bit hashes of runs of n words: what is shuffled is a number, not the words."""
+    def all_of(w):
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, n)))
+
+    return S.let(F.col("w"), all_of)
+
+
 def gram_sql(n: int, source: str = "words") -> str:
     return f"(SELECT id, i - 1 AS pos, array_to_string(w[i:i + {n - 1}], ' ') AS kmer FROM (SELECT id, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM {source}))"
 
@@ -40,17 +55,17 @@ def bench_words(t):
 
 @query(f"{K8} SELECT kmer, count(*) AS n FROM k GROUP BY kmer")
 def kmer_count_exact(t):
-    return K.counts(reads(t), k8())
+    return named(P.counts(reads(t), "bases", 8), 8)
 
 
 @query(f"{K8} SELECT greatest(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 5")
 def kmer_count_canonical(t):
-    return K.counts(reads(t), F.transform(k8(), S.canonical), least=5)
+    return named(P.counts(reads(t), "bases", 8, canonical=True, least=5), 8)
 
 
 @query(f"WITH {READS}, k AS {kmer_sql(3)} SELECT id, count(*) AS n, count(DISTINCT kmer) AS distinct_kmers FROM k GROUP BY id")
 def kmer_count_short(t):
-    return K.exploded(reads(t), "id", S.defined_kmers(F.col("bases"), 3)).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("kmer").alias("distinct_kmers"))
+    return P.of_reads(reads(t), "id", "bases", 3).groupBy("id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct_kmers"))
 
 
 @query(f"WITH {READS}, k AS {kmer_sql(40)} SELECT kmer, count(*) AS n FROM k GROUP BY kmer HAVING count(*) >= 3")
@@ -60,14 +75,15 @@ def kmer_count_long(t):
 
 @query(f"{K8}, c AS (SELECT kmer, count(*) AS n FROM k GROUP BY kmer) SELECT n AS depth, count(*) AS unique_kmers, CAST(sum(n) AS BIGINT) AS raw_kmers FROM c GROUP BY n")
 def kmer_histogram(t):
-    return K.histogram(K.counts(reads(t), k8()))
+    return K.histogram(P.counts(reads(t), "bases", 8))
 
 
 @query(f"""WITH {READS}, k AS {kmer_sql(8)}, a AS (SELECT kmer, count(*) AS n FROM k WHERE id % 2 = 0 GROUP BY kmer), b AS (SELECT kmer, count(*) AS n FROM k WHERE id % 2 = 1 GROUP BY kmer)
 SELECT a.n AS depth_a, b.n AS depth_b, count(*) AS kmers FROM a JOIN b USING (kmer) GROUP BY 1, 2""")
 def kmer_histogram_2d(t):
     r = reads(t)
-    return K.two_depths(K.counts(r.filter("id % 2 = 0"), k8()), K.counts(r.filter("id % 2 = 1"), k8()))
+    a, b = (P.counts(r.filter(f"id % 2 = {i}"), "bases", 8).withColumnRenamed("key", "kmer") for i in range(2))
+    return K.two_depths(a, b)
 
 
 @query(f"{K8} SELECT DISTINCT CAST(list_reduce(list_transform(range(1, 9), lambda i: CAST(strpos('ACGT', kmer[i]) - 1 AS BIGINT)), lambda a, b: a * 4 + b) AS BIGINT) AS key, kmer FROM k")
@@ -116,41 +132,38 @@ def kmer_covered_bases(t):
     return K.covered_bases(K.hits(words(t), "id", grams(5), K.reference_index(bench_words(t), "id", grams(5))), "id", 5)
 
 
-@query(f"""WITH {READS}, ref AS (SELECT kmer, min(id) AS ref_id FROM {kmer_sql(10)} WHERE id < 5 GROUP BY kmer),
+BENCH_READS = """br AS (SELECT item_id AS id, regexp_replace(upper(text), '[^ACGTN]', '', 'g') AS bases FROM benchmark WHERE text IS NOT NULL)"""
+
+
+def bench_reads(t):
+    return t("benchmark").filter("text is not null").select(F.col("item_id").alias("id"), S.once(F.regexp_replace(F.upper("text"), "[^ACGTN]", "")).alias("bases"))
+
+
+@query(f"""WITH {READS}, {BENCH_READS}, ref AS (SELECT kmer, min(id) AS ref_id FROM {kmer_sql(10, 'br')} GROUP BY kmer),
 m AS (SELECT ref_id, substring(kmer, 1, i - 1) || a || substring(kmer, i + 1) AS kmer FROM (SELECT kmer, ref_id, unnest(range(1, 11)) AS i FROM ref) CROSS JOIN (SELECT unnest(['A', 'C', 'G', 'T']) AS a)), x AS (SELECT kmer, min(ref_id) AS ref_id FROM m GROUP BY kmer)
 SELECT k.id, count(*) AS hits FROM {kmer_sql(10)} k JOIN x USING (kmer) GROUP BY k.id HAVING count(*) >= 3""")
 def kmer_hamming_join(t):
-    """Reference k-mers of the first five reads, and all one substitution away."""
-    r = reads(t)
-    ten = S.defined_kmers(F.col("bases"), 10)
-    index = K.reference_index(r.filter("id < 5"), "id", ten).select("ref_id", F.explode(K.mutants(F.col("kmer"))).alias("kmer")).groupBy("kmer").agg(F.min("ref_id").alias("ref_id"))
-    return K.matched_reads(r, "id", ten, index, 3)
-
-
-@query()
-def kmer_hamming_join_whole(t):
-    """As kmer_hamming_join, with all of benchmark as the reference; tested by brute force."""
-    ten = S.defined_kmers(F.col("bases"), 10)
-    refs = t("benchmark").filter("text is not null").select(F.col("item_id").alias("id"), F.regexp_replace(F.upper("text"), "[^ACGTN]", "").alias("bases"))
-    index = K.reference_index(refs, "id", ten).select("ref_id", F.explode(K.mutants(F.col("kmer"))).alias("kmer")).groupBy("kmer").agg(F.min("ref_id").alias("ref_id"))
-    return K.matched_reads(reads(t), "id", ten, index, 3)
+    """Reference k-mers of all of benchmark, and all one substitution away."""
+    index = K.reference_index(bench_reads(t), "id", S.defined_kmers(F.col("bases"), 10)).select("ref_id", F.explode(K.mutants(F.col("kmer"))).alias("kmer")).groupBy("kmer").agg(F.min("ref_id").alias("ref_id"))
+    packed = index.select(S.packed_kmer(F.col("kmer")).alias("key"))
+    return P.of_reads(reads(t), "id", "bases", 10).join(packed, "key").groupBy("id").agg(F.sum("n").alias("hits")).filter("hits >= 3")
 
 
 @query(f"{K8}, f AS (SELECT kmer, min(id) AS first FROM k GROUP BY kmer) SELECT CAST(floor(first / 100.0) AS BIGINT) AS bin, count(*) AS fresh FROM f GROUP BY 1")
 def uniqueness_curve(t):
-    return K.first_seen(reads(t), "id", k8()).groupBy(F.floor(F.col("first") / 100.0).alias("bin")).agg(F.count(F.lit(1)).alias("fresh"))
+    return P.of_reads(reads(t), "id", "bases", 8).groupBy("key").agg(F.min("id").alias("first")).groupBy(F.floor(F.col("first") / 100.0).alias("bin")).agg(F.count(F.lit(1)).alias("fresh"))
 
 
 @query(f"{K8}, c AS (SELECT kmer, count(*) AS n FROM k GROUP BY kmer), o AS (SELECT id, list_sort(list(n)) AS a FROM k JOIN c USING (kmer) GROUP BY id) SELECT id, a[CAST(floor((len(a) + 1) / 2) AS BIGINT)] AS depth FROM o")
 def read_depth(t):
     r = reads(t)
-    return K.read_depth(r, "id", k8(), K.counts(r, k8()))
+    return P.read_depth(P.of_reads(r, "id", "bases", 8), "id", P.counts(r, "bases", 8))
 
 
 @query(f"{K8}, c AS (SELECT kmer, count(*) AS n FROM k GROUP BY kmer), o AS (SELECT id, list_sort(list(n)) AS a FROM k JOIN c USING (kmer) GROUP BY id), d AS (SELECT id, a[CAST(floor((len(a) + 1) / 2) AS BIGINT)] AS depth FROM o) SELECT id, depth FROM d WHERE depth >= 3 AND ((id * 7919) % 1000) / 1000.0 < 20.0 / depth")
 def normalise_depth(t):
     r = reads(t)
-    depth = K.read_depth(r, "id", k8(), K.counts(r, k8()))
+    depth = P.read_depth(P.of_reads(r, "id", "bases", 8), "id", P.counts(r, "bases", 8))
     return K.normalise(r, "id", depth, 20, 3, ((F.col("id") * 7919) % 1000) / 1000.0).select("id", "depth")
 
 
@@ -175,15 +188,15 @@ def sketch_compare(t):
 @query()
 def approximate_distinct(t):
     """HyperLogLog sketches by source, merged to one estimate of all; within the sketch's error of the exact count."""
-    one = reads(t).select("source", F.explode(k8()).alias("kmer")).groupBy("source").agg(F.hll_sketch_agg("kmer").alias("s"), F.count(F.lit(1)).alias("n"))
+    one = P.counts(reads(t), "bases", 8, by="source").groupBy("source").agg(F.hll_sketch_agg("key").alias("s"), F.sum("n").alias("n"))
     return one.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("estimate"), F.sum("n").alias("kmers"))
 
 
 @query(f"{K8} SELECT 8 AS k, count(DISTINCT kmer) AS kmers FROM k UNION ALL SELECT 5, count(DISTINCT kmer) FROM {kmer_sql(5)}")
 def multi_k_cardinality(t):
     r = reads(t)
-    both = r.select(F.lit(8).alias("k"), F.explode(k8()).alias("kmer")).union(r.select(F.lit(5), F.explode(S.defined_kmers(F.col("bases"), 5))))
-    return both.distinct().groupBy("k").agg(F.count(F.lit(1)).alias("kmers"))
+    both = P.counts(r, "bases", 8).select(F.lit(8).alias("k")).union(P.counts(r, "bases", 5).select(F.lit(5)))
+    return both.groupBy("k").agg(F.count(F.lit(1)).alias("kmers"))
 
 
 @query("SELECT text, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")
@@ -204,8 +217,8 @@ def dedupe_canonical(t):
 @query(f"""WITH RECURSIVE {WORDS}, k AS {gram_sql(12)}, m AS (SELECT kmer, min(id) AS low FROM k GROUP BY kmer HAVING count(DISTINCT id) > 1), e AS (SELECT DISTINCT k.id AS a, m.low AS b FROM k JOIN m USING (kmer) WHERE k.id <> m.low), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, to_node) AS (SELECT a, b FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.to_node = s.a) SELECT node, least(node, min(to_node)) AS component FROM r GROUP BY node""")
 def overlap_clusters(t):
-    """Documents that share a run of twelve words, by chains."""
-    k = K.exploded(words(t), "id", grams(12))
+    """Documents that share a run of twelve words, by chains; runs are compared by 64-bit hashes."""
+    k = words(t).select("id", F.explode(F.array_distinct(gram_hashes(12))).alias("kmer"))
     low = k.groupBy("kmer").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("kmer", "low")
     return G.connected_components(k.join(low, "kmer").filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "a", "b")
 

@@ -37,18 +37,18 @@ WORDS = """words AS (SELECT doc_id AS id, source, list_filter(string_split_regex
 
 
 def reads(t) -> DataFrame:
-    return t("documents").filter("text is not null").select(F.col("doc_id").alias("id"), "source", F.regexp_replace(F.upper("text"), "[^ACGTN]", "").alias("bases"))
+    return t("documents").filter("text is not null").select(F.col("doc_id").alias("id"), "source", S.once(F.regexp_replace(F.upper("text"), "[^ACGTN]", "")).alias("bases"))
 
 
 def quals(t) -> DataFrame:
     def made(n):
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: ((i * 7 + (i % 31) * (i % 17) + n) % 41).cast("int"))
 
-    return reads(t).filter(F.length("bases") > 0).withColumn("quals", S.let(F.length("bases"), made))
+    return reads(t).filter(F.length("bases") > 0).select("*", S.once(S.let(F.length("bases"), made)).alias("quals"))
 
 
 def words(t) -> DataFrame:
-    return t("documents").filter("text is not null").select(F.col("doc_id").alias("id"), "source", F.filter(F.split(F.lower("text"), "[ \\t\\n]+"), lambda x: x != "").alias("w"))
+    return t("documents").filter("text is not null").select(F.col("doc_id").alias("id"), "source", S.once(F.filter(F.split(F.lower("text"), "[ \\t\\n]+"), lambda x: x != "")).alias("w"))
 
 
 def kmer_sql(k: int, source: str = "reads") -> str:

@@ -134,26 +134,13 @@ def base_composition(t):
     return A.base_composition(reads(t))
 
 
-@query(f"WITH {READS} SELECT CAST(i - 1 AS INTEGER) AS pos, bases[i] AS base, count(*) AS n FROM (SELECT substring(bases, 1, 150) AS bases, unnest(range(1, least(len(bases), 150) + 1)) AS i FROM reads) GROUP BY 1, 2")
+@query(f"WITH {READS} SELECT CAST(i - 1 AS INTEGER) AS pos, bases[i] AS base, count(*) AS n FROM (SELECT bases, unnest(range(1, len(bases) + 1)) AS i FROM reads) GROUP BY 1, 2")
 def base_by_position(t):
-    return A.by_position(reads(t), most=150)
-
-
-@query(f"WITH {QUALS}, p AS (SELECT CAST(i AS INTEGER) AS pos, quals[i + 1] AS q FROM (SELECT quals, unnest(range(least(len(quals), 100))) AS i FROM q)) SELECT pos, round(avg(q), 9) AS mean, min(q) AS low, max(q) AS high, quantile_cont(q, 0.5) AS median, count(*) AS n FROM p GROUP BY pos")
-def quality_by_position(t):
-    p = quals(t).select(F.posexplode(F.slice("quals", 1, 100)).alias("pos", "q"))
-    return p.groupBy("pos").agg(F.round(F.avg("q"), 9).alias("mean"), F.min("q").alias("low"), F.max("q").alias("high"), F.percentile("q", 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def base_by_position_whole(t):
-    """Every position, where base_by_position and its SQL end at 150; tested against Python."""
     return A.by_position(reads(t))
 
 
-@query()
-def quality_by_position_whole(t):
-    """Every position, where quality_by_position and its SQL end at 100; tested against Python."""
+@query(f"WITH {QUALS}, p AS (SELECT CAST(i AS INTEGER) AS pos, quals[i + 1] AS q FROM (SELECT quals, unnest(range(len(quals))) AS i FROM q)) SELECT pos, round(avg(q), 9) AS mean, min(q) AS low, max(q) AS high, quantile_cont(q, 0.5) AS median, count(*) AS n FROM p GROUP BY pos")
+def quality_by_position(t):
     p = quals(t).select(F.posexplode("quals").alias("pos", "q"))
     return p.groupBy("pos").agg(F.round(F.avg("q"), 9).alias("mean"), F.min("q").alias("low"), F.max("q").alias("high"), F.percentile("q", 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
 
@@ -269,15 +256,9 @@ def shared_lines(t):
     return T.shared_counts(t("documents").select("source", F.explode(F.split("text", "\n")).alias("line")), "source", "line")
 
 
-@query("SELECT conv_id AS name, max(CASE WHEN turn % 2 = 0 THEN text END) AS one, max(CASE WHEN turn % 2 = 1 THEN text END) AS two, max(CASE WHEN turn % 2 = 0 THEN 1 END) IS NOT NULL AND max(CASE WHEN turn % 2 = 1 THEN 1 END) IS NOT NULL AS paired FROM conversations WHERE turn < 2 GROUP BY 1")
+@query("SELECT conv_id AS name, CAST(floor(turn / 2) AS BIGINT) AS number, max(CASE WHEN turn % 2 = 0 THEN text END) AS one, max(CASE WHEN turn % 2 = 1 THEN text END) AS two, count(CASE WHEN turn % 2 = 0 THEN text END) > 0 AND count(CASE WHEN turn % 2 = 1 THEN text END) > 0 AS paired FROM conversations GROUP BY 1, 2")
 def repair_pairs(t):
-    rows = t("conversations").filter("turn < 2").select(F.col("conv_id").alias("name"), (F.col("turn") % 2).alias("pair"), "text")
-    return T.repair(rows, "name", "pair", "text")
-
-
-@query()
-def repair_pairs_whole(t):
-    """All turns, two by two, where repair_pairs and its SQL take the first two; tested against Python."""
+    """All turns, two by two."""
     rows = t("conversations").select(F.struct("conv_id", F.floor(F.col("turn") / 2).alias("number")).alias("name"), (F.col("turn") % 2).alias("pair"), "text")
     return T.repair(rows, "name", "pair", "text").select(F.col("name.conv_id").alias("name"), F.col("name.number").alias("number"), "one", "two", "paired")
 
@@ -295,6 +276,21 @@ def name_filter_prefix(t):
     return R.name_filter(p.select("p_partkey", "p_type"), names, "p_type", mode="prefix", ignore_case=True)
 
 
+@query("SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM (SELECT unnest(['blue', 'hot r', 'metallic']) AS n) WHERE contains(p_name, n))")
+def name_filter_contains(t):
+    p = t("part")
+    names = p.sparkSession.createDataFrame([("blue",), ("hot r",), ("metallic",)], "name string")
+    return R.name_filter(p.select("p_partkey", "p_name"), names, "p_name", mode="contains")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE NOT (starts_with(event_type, 'cl') OR starts_with(event_type, 'view')) GROUP BY 1")
+def name_filter_prefix_exclude(t):
+    """Rows of one name stay as often as they are."""
+    e = t("events").select("event_type")
+    names = e.sparkSession.createDataFrame([("cl",), ("view",)], "name string")
+    return R.name_filter(e, names, "event_type", include=False, mode="prefix").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def name_filter_exclude(t):
     return t("documents").select("doc_id").join(t("labels"), "doc_id", "left_anti")

@@ -50,7 +50,7 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     counted = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counted.select(F.col("file").alias("_f"), F.col("block").alias("_b"), before.alias("before"))
-    return placed.join(F.broadcast(starts), (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b"))).select("file", (F.col("before") + F.col("place")).alias("line"), "value")  # a row a block
+    return placed.join(starts, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b"))).select("file", (F.col("before") + F.col("place")).alias("line"), "value")
 
 
 def read_fastq(spark: SparkSession, path: str | list[str], offset: int = 33, interleaved: bool = False) -> DataFrame:

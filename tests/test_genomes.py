@@ -91,4 +91,4 @@ def test_whole_mates_and_alleles(spark):
         want[i] = (n, len(one) + len(two) - n if n else None)
     assert {r.id: (r.overlap, r.length) for r in plans.QUERIES["merge_mates"](spark, SF).collect()} == want
     alleles = sorted((i, k, a) for i, text in rows for k, a in enumerate(text.split(","), 1))
-    assert sorted(map(tuple, plans.QUERIES["split_alleles_whole"](spark, SF).collect())) == alleles
+    assert sorted(map(tuple, plans.QUERIES["split_alleles"](spark, SF).collect())) == alleles

@@ -128,18 +128,18 @@ def ten_mers(bases):
 def test_whole_hamming_join(spark):
     index = {k[:i] + a + k[i + 1 :] for b in reads_of(spark, "benchmark", "item_id").values() for k in ten_mers(b) for i in range(10) for a in "ACGT"}
     want = {i: n for i, b in reads_of(spark).items() if (n := sum(k in index for k in ten_mers(b))) >= 3}
-    assert {r.id: r.hits for r in plans.QUERIES["kmer_hamming_join_whole"](spark, SF).collect()} == want and want
+    assert {r.id: r.hits for r in plans.QUERIES["kmer_hamming_join"](spark, SF).collect()} == want and want
 
 
 def test_whole_positions(spark):
     every = reads_of(spark).values()
     want = Counter((pos, b) for bases in every for pos, b in enumerate(bases))
-    assert {(r.pos, r.base): r.n for r in plans.QUERIES["base_by_position_whole"](spark, SF).collect()} == want
+    assert {(r.pos, r.base): r.n for r in plans.QUERIES["base_by_position"](spark, SF).collect()} == want
     at = defaultdict(list)
     for bases in every:
         for i in range(len(bases)):
             at[i].append((i * 7 + (i % 31) * (i % 17) + len(bases)) % 41)
-    got = {r.pos: r for r in plans.QUERIES["quality_by_position_whole"](spark, SF).collect()}
+    got = {r.pos: r for r in plans.QUERIES["quality_by_position"](spark, SF).collect()}
     assert set(got) == set(at) and max(at) >= 150
     for pos, q in at.items():
         r, s = got[pos], sorted(q)
@@ -150,5 +150,5 @@ def test_whole_pairs(spark):
     want = defaultdict(lambda: [None, None])
     for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
         want[r.conv_id, r.turn // 2][r.turn % 2] = max(want[r.conv_id, r.turn // 2][r.turn % 2] or "", r.text)
-    got = {(r.name, r.number): [r.one, r.two] for r in plans.QUERIES["repair_pairs_whole"](spark, SF).collect()}
+    got = {(r.name, r.number): [r.one, r.two] for r in plans.QUERIES["repair_pairs"](spark, SF).collect()}
     assert got == want and any(number for _, number in got)
