@@ -45,12 +45,16 @@ def lookup(rows: DataFrame, names: DataFrame, name: str, short: Column) -> DataF
 
 def sample_rows(rows: DataFrame, key: Column, fraction: float, seed: int = 0) -> DataFrame:
     """A Bernoulli sample by hash: the same rows on every run and layout."""
-    return rows.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    from seqloom.operators.orders import hash_number
+
+    return rows.filter(hash_number(key, seed) % 1_000_000 < int(fraction * 1_000_000))
 
 
 def exact_sample(rows: DataFrame, key: Column, n: int, seed: int = 0) -> DataFrame:
     """Exactly n rows, by hash order: a top-k, not a sort of all."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    from seqloom.operators.orders import hash_number
+
+    return rows.orderBy(hash_number(key, seed), key).limit(n)
 
 
 def partition(rows: DataFrame, ways: int, key: Column) -> DataFrame:

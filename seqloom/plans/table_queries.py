@@ -316,17 +316,6 @@ def limit_and_skip(t):
     return t("orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").offset(20).limit(50)
 
 
-@query()
-def sample_by_hash(t):
-    """About a tenth, the same rows each time."""
-    return T.sample_rows(t("lineitem"), F.concat_ws("-", "l_orderkey", "l_linenumber"), 0.1).select("l_orderkey", "l_linenumber")
-
-
-@query()
-def sample_exact(t):
-    return T.exact_sample(t("documents").select("doc_id"), F.col("doc_id"), 100)
-
-
 @query("SELECT o_orderkey, CAST(o_orderkey % 7 AS INTEGER) AS part FROM orders")
 def partition_ways(t):
     return T.partition(t("orders").select("o_orderkey"), 7, F.col("o_orderkey"))
