@@ -92,9 +92,10 @@ def limited(rows: DataFrame, key: str, most: int, order: Column) -> DataFrame:
 
 def transition_matrix(pairs: DataFrame, expected: str, seen: str) -> DataFrame:
     """``(pos, from, to, n)`` of symbols of equally long texts."""
-    zipped = F.arrays_zip(F.filter(F.split(expected, ""), lambda c: c != "").alias("a"), F.filter(F.split(seen, ""), lambda c: c != "").alias("b"))
-    each = pairs.filter(F.length(expected) == F.length(seen)).select(F.posexplode(zipped).alias("pos", "x"))
-    return each.groupBy("pos", F.col("x.0").alias("from"), F.col("x.1").alias("to")).agg(F.count(F.lit(1)).alias("n"))
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    both = F.zip_with(letters(expected), letters(seen), lambda x, y: F.struct(x.alias("from"), y.alias("to")))
+    each = pairs.filter(F.length(expected) == F.length(seen)).select(F.posexplode(both).alias("pos", "x"))
+    return each.groupBy("pos", "x.from", "x.to").agg(F.count(F.lit(1)).alias("n"))
 
 
 def grid_statistics(rows: DataFrame, keys: list[str], x: Column, y: Column, size: float, value: Column) -> DataFrame:

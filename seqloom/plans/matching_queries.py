@@ -73,10 +73,10 @@ def kmer_edit_neighbours(t):
     return hits.groupBy("id").agg(F.count(F.lit(1)).alias("hits")).filter("hits >= 2")
 
 
-@query(f"WITH {HITS}, s AS (SELECT id, count(*) AS hits FROM hit GROUP BY id), c AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(pos, pos + 11)) AS p FROM hit) GROUP BY id) SELECT id, hits, round(hits / (len(bases) - 10), 9) AS fraction, round(n / len(bases), 9) AS covered FROM reads JOIN s USING (id) JOIN c USING (id) WHERE hits >= 1 AND hits / (len(bases) - 10) >= 0.001 AND n / len(bases) >= 0.005")
+@query(f"WITH {HITS}, s AS (SELECT id, count(*) AS hits FROM hit GROUP BY id), c AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(pos, pos + 11)) AS p FROM hit) GROUP BY id) SELECT id, hits, round(hits / (len(bases) - 10), 9) AS fraction, round(n / len(bases), 9) AS covered FROM reads JOIN s USING (id) JOIN c USING (id) WHERE hits >= 1 AND hits / (len(bases) - 10) >= 0.0001 AND n / len(bases) >= 0.001")
 def kmer_thresholds(t):
     r, hits = _found(t)
-    return M.thresholds(r, hits, "id", "bases", 11, 1, 0.001, 0.005).withColumns({c: F.round(c, 9) for c in ("fraction", "covered")})
+    return M.thresholds(r, hits, "id", "bases", 11, 1, 0.0001, 0.001).withColumns({c: F.round(c, 9) for c in ("fraction", "covered")})
 
 
 @query(f"WITH {HITS}, s AS (SELECT id, ref_id, count(*) AS hits FROM hit GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY hits DESC) AS k FROM s) SELECT id, min_by(ref_id, md5(id || '-' || ref_id)) AS ref_id, max(hits) AS hits FROM r WHERE k = 1 GROUP BY id")

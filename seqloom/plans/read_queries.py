@@ -176,12 +176,6 @@ def motif_count(t):
     return reads(t).select("id", (F.length("bases") - F.length(F.regexp_replace("bases", "TGA|TAA|TAG", ""))).cast("long").alias("stops"))
 
 
-@query()
-def translate_six_frames(t):
-    """Amino acids of all six frames; tested against a plain translation."""
-    return reads(t).select("id", F.explode(S.six_frames(F.col("bases"))).alias("f")).select("id", "f.frame", "f.amino")
-
-
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_filter(range(1, len(a.p_brand) + 1), lambda i: a.p_brand[i] <> b.p_brand[i])) AS d, levenshtein(a.p_type, b.p_type) AS e FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND len(a.p_brand) = len(b.p_brand)")
 def hamming_and_edit(t):
     a, b = t("part").select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("ab"), F.col("p_type").alias("at"), "p_size"), t("part").select(F.col("p_partkey").alias("b"), F.col("p_brand").alias("bb"), F.col("p_type").alias("bt"), "p_size")

@@ -206,3 +206,58 @@ def padded_spans(variants: DataFrame, pad: int) -> DataFrame:
     """Variants as half-open spans with ``pad`` on both sides."""
     start: Column = F.greatest(F.lit(0), F.col("pos") - 1 - pad)
     return variants.select("scaf", start.alias("start"), (F.col("pos") - 1 + F.length("ref") + pad).alias("stop"))
+
+
+def read_accessions(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Accession tables: ``(accession, version, tax_id, gi)`` from four tab-separated fields below a header line."""
+    rows = _fields(_lines(spark, path).filter(~F.col("value").startswith("accession\t")), ["accession", "version", "tax_id", "gi"])
+    return rows.withColumns({"tax_id": F.col("tax_id").try_cast("int"), "gi": F.col("gi").try_cast("long")})
+
+
+def read_gi_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(gi, tax_id)``."""
+    return _fields(_lines(spark, path), ["gi", "tax_id"]).select(F.col("gi").try_cast("long").alias("gi"), F.col("tax_id").try_cast("int").alias("tax_id")).filter("gi is not null")
+
+
+def read_assembly_summary(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Assembly summaries: a column a field of the last comment line above the rows."""
+    lines = _lines(spark, path)
+    header = lines.filter(F.col("value").rlike("^#+ *assembly_accession")).limit(1).first()
+    names = header[0].lstrip("# ").split("\t") if header else ["assembly_accession"]
+    return _fields(lines, names)
+
+
+def read_names_table(spark: SparkSession, path: str | list[str], kind: str = "scientific name") -> DataFrame:
+    """``(tax_id, name)`` of one kind of name from a table of ``|``-separated fields."""
+    parts = F.transform(F.split("value", r"\|"), lambda x: F.trim(F.regexp_replace(x, "\t", " ")))
+    return _lines(spark, path).filter(F.length("value") > 0).filter(parts[3] == kind).select(parts[0].cast("int").alias("tax_id"), parts[1].alias("name"))
+
+
+def read_hmm_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Tables of profile searches: ``(target, query, evalue, score, description)`` of whitespace-separated rows."""
+    parts = F.split(F.trim("value"), r"\s+", 19)
+    rows = _lines(spark, path).filter((F.length("value") > 0) & ~F.col("value").startswith("#"))
+    return rows.select(parts[0].alias("target"), parts[2].alias("query"), parts[4].try_cast("double").alias("evalue"), parts[5].try_cast("double").alias("score"), F.get(parts, F.lit(18)).alias("description"))
+
+
+def hmm_summary(report: DataFrame, most: float = 1e-5) -> DataFrame:
+    """``(query, targets, best, score)``: how many targets each profile meets, and its best one."""
+    good = report.filter(F.col("evalue") <= most)
+    return good.groupBy("query").agg(F.countDistinct("target").alias("targets"), F.min(F.struct("evalue", (-F.col("score")).alias("s"), "target")).alias("m")).select("query", "targets", F.col("m.target").alias("best"), (-F.col("m.s")).alias("score"))
+
+
+def read_gfa_links(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Links: ``(source, source_strand, target, target_strand, overlap)``."""
+    parts = F.split("value", "\t", -1)
+    return _lines(spark, path).filter(F.col("value").startswith("L\t")).select(*[parts[i + 1].alias(n) for i, n in enumerate(("source", "source_strand", "target", "target_strand", "overlap"))])
+
+
+def twin_path(path: str) -> tuple[str, str]:
+    """The two files a ``#`` in a path stands for."""
+    return path.replace("#", "1"), path.replace("#", "2")
+
+
+def quality_offset(reads: DataFrame, quals: str = "quals") -> int:
+    """33 or 64, from the least quality of reads read with offset 33: none of offset 64 is below 26."""
+    least = reads.agg(F.min(F.array_min(quals))).first()[0]
+    return 64 if least is not None and least >= 26 else 33
