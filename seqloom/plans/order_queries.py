@@ -245,10 +245,12 @@ def array_algebra(t):
     return v.select("vec_id", F.round(X.total(F.col("l")), 6).alias("total"), F.round(X.array_percentile(F.col("l"), 0.9), 6).alias("p90"), F.round(F.get(F.reverse("l"), F.lit(0)), 6).alias("last"), F.size(F.array_distinct(F.transform("l", lambda x: F.floor(x * 10)))).cast("long").alias("levels"))
 
 
-@query("SELECT p_partkey, list_transform(string_split(CAST(p_retailprice AS VARCHAR) || ',' || p_size || ',x', ','), lambda x: try_cast(x AS DOUBLE)) AS numbers FROM part")
+@query("SELECT p_partkey, list_sum(n) AS total, len(n) - list_count(n) AS broken FROM (SELECT p_partkey, list_transform(string_split(CAST(p_retailprice AS VARCHAR) || ',' || p_size || ',x', ','), lambda x: try_cast(x AS DOUBLE)) AS n FROM part)")
 def array_parsing(t):
     text = F.concat(F.col("p_retailprice").cast("string"), F.lit(","), F.col("p_size").cast("string"), F.lit(",x"))
-    return t("part").select("p_partkey", X.number_array(text).alias("numbers"))
+    n = t("part").select("p_partkey", X.number_array(text).alias("n"))
+    good = F.filter("n", lambda x: x.isNotNull())
+    return n.select("p_partkey", X.total(good).alias("total"), (F.size("n") - F.size(good)).cast("long").alias("broken"))
 
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) / len(list_distinct(list_concat(string_split(a.p_name, ' '), string_split(b.p_name, ' ')))), 9) AS jaccard FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
