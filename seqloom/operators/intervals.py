@@ -9,32 +9,58 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def swept(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Events ``(keys, at, ...)``, one row a place, sorted over range partitions: what ``run_up`` takes."""
+    from seqloom.operators.graphs import cut
+
+    return cut(events.repartitionByRange(*keys, "at").withColumn("_p", F.spark_partition_id()))
+
+
+def run_up(placed: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Adds the sums up to each place, ``..._to``, and ``next``, the key's next place (null at its last).
+
+    What opens in a key closes in it, so sums over all keys in order are the key's own, and neither a window nor a
+    task has to hold a whole key: partial sums of range partitions, a row a partition, and each partition's first place.
+    """
+    order = [*keys, "at"]
+    w, whole = W.partitionBy("_p").orderBy(*order), W.orderBy("_q")
+    ends = placed.groupBy(F.col("_p").alias("_q")).agg(F.min(F.struct(*order)).alias("_first"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    ends = ends.select("_q", F.lead("_first").over(whole).alias("_after"), *[F.coalesce(F.sum(f"_s_{c}").over(whole.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    joined = placed.withColumn("_next", F.lead(F.struct(*order)).over(w)).join(F.broadcast(ends), F.col("_p") == F.col("_q"))  # a row a partition
+    after = F.coalesce("_next", "_after")
+    same = reduce(lambda x, y: x & y, [after[k] == F.col(k) for k in keys])
+    run = [(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col(f"_b_{c}")).alias(f"{c}_to") for c in sums]
+    return joined.select(*placed.columns, *run, F.when(same, after["at"]).alias("next"))
+
+
 def merge(rows: DataFrame, keys: list[str], start: str = "start", stop: str = "stop", gap: int = 0) -> DataFrame:
-    """Gaps and islands: intervals that overlap or are at most ``gap`` apart become one; ``n`` is their number."""
-    w = W.partitionBy(*keys).orderBy(start, stop)
-    before = F.max(stop).over(w.rowsBetween(W.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.when(F.col(start) <= before + gap, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return marked.groupBy(*keys, "_run").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count(F.lit(1)).alias("n")).drop("_run")
+    """Gaps and islands: intervals that overlap or are at most ``gap`` apart become one; ``n`` is their number. Empty intervals take no part."""
+    real = rows.filter(F.col(start) < F.col(stop))
+    events = real.select(*keys, F.col(start).alias("at"), F.lit(1).alias("d"), F.lit(1).alias("s")).union(real.select(*keys, F.col(stop) + gap, F.lit(-1), F.lit(0)))
+    places = events.groupBy(*keys, "at").agg(F.sum("d").alias("d"), F.sum("s").alias("s")).filter("d <> 0 or s > 0")
+    deep = run_up(swept(places, keys), keys, ["d"]).withColumn("open", ((F.col("d_to") > 0) & (F.col("d_to") == F.col("d"))).cast("int")).withColumnRenamed("next", "stop")
+    runs = run_up(deep, keys, ["open"]).filter("d_to > 0")
+    return runs.groupBy(*keys, "open_to").agg(F.min("at").alias(start), (F.max("stop") - gap).alias(stop), F.sum("s").alias("n")).drop("open_to")
 
 
 def depth_segments(rows: DataFrame, keys: list[str], start: str = "start", stop: str = "stop") -> DataFrame:
-    """``(keys, start, stop, depth)``: +1 and -1 events, summed by place first, then a running sum. Never a row a base."""
+    """``(keys, start, stop, depth)``: +1 and -1 events, summed by place first, then run up by range partitions. Never a row a base."""
     events = rows.select(*keys, F.col(start).alias("at"), F.lit(1).alias("d")).union(rows.select(*keys, F.col(stop), F.lit(-1)))
     steps = events.groupBy(*keys, "at").agg(F.sum("d").alias("d")).filter("d <> 0")
-    w = W.partitionBy(*keys).orderBy("at")
-    return steps.select(*keys, F.col("at").alias("start"), F.lead("at").over(w).alias("stop"), F.sum("d").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("depth")).filter("stop is not null")
+    return run_up(swept(steps, keys), keys, ["d"]).filter("next is not null").select(*keys, F.col("at").alias("start"), F.col("next").alias("stop"), F.col("d_to").alias("depth"))
 
 
 def combine(sets: list[DataFrame], keys: list[str], mode: str) -> DataFrame:
-    """Union, intersection of all, or the first without the others; abutting pieces are merged."""
-    merged = [merge(s, keys).select(*keys, "start", "stop") for s in sets]
-    events = reduce(DataFrame.union, [m.select(*keys, F.col("start").alias("at"), F.lit(int(i == 0)).alias("a"), F.lit(int(i > 0)).alias("b")).union(m.select(*keys, F.col("stop"), F.lit(-int(i == 0)), F.lit(-int(i > 0)))) for i, m in enumerate(merged)])
-    w = W.partitionBy(*keys).orderBy("at")
-    up_to = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    steps = events.groupBy(*keys, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    pieces = steps.select(*keys, F.col("at").alias("start"), F.lead("at").over(w).alias("stop"), F.sum("a").over(up_to).alias("da"), F.sum("b").over(up_to).alias("db")).filter("stop is not null")
-    keep = {"union": "da + db > 0", "intersect": f"da + db = {len(sets)}", "subtract": "da > 0 and db = 0"}[mode]
-    return merge(pieces.filter(keep), keys).select(*keys, "start", "stop")
+    """Union, intersection of all, or the first without the others; abutting pieces are merged. The depth of each set is run up in one sweep over all."""
+    names = [f"s{i}" for i in range(len(sets))]
+    one = lambda i, v: [F.lit(v if j == i else 0).alias(n) for j, n in enumerate(names)]
+    real = [s.filter("start < stop") for s in sets]
+    events = reduce(DataFrame.union, [m.select(*keys, F.col("start").alias("at"), *one(i, 1)).union(m.select(*keys, F.col("stop"), *one(i, -1))) for i, m in enumerate(real)])
+    steps = events.groupBy(*keys, "at").agg(*[F.sum(n).alias(n) for n in names])
+    pieces = run_up(swept(steps, keys), keys, names).filter("next is not null")
+    inside = sum(((F.col(f"{n}_to") > 0).cast("int") for n in names), F.lit(0))
+    keep = {"union": inside > 0, "intersect": inside == len(sets), "subtract": (F.col("s0_to") > 0) & (inside == 1)}[mode]
+    return merge(pieces.filter(keep).select(*keys, F.col("at").alias("start"), F.col("next").alias("stop")), keys).select(*keys, "start", "stop")
 
 
 def within(points: DataFrame, intervals: DataFrame, key: str, at: str, bin_size: int, start: str = "start", stop: str = "stop", how: str = "inner") -> DataFrame:
