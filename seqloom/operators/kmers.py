@@ -92,11 +92,15 @@ def normalise(reads: DataFrame, id_column: str, depth: DataFrame, target: int, l
 
 
 def sketch(rows: DataFrame, group: str, kmers: Column, size: int) -> DataFrame:
-    """``(group, key, n, rank)``: the ``size`` least hashes of a group, with counts."""
-    keyed = rows.select(group, F.explode(kmers).alias("kmer")).groupBy(group, "kmer").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.xxhash64("kmer"))
+    """``(group, key, n, rank)``: the ``size`` least hashes of a group, with counts; hashes are the first 60 bits of MD5, the same on every engine."""
+    keyed = rows.select(group, F.explode(kmers).alias("kmer")).groupBy(group, "kmer").agg(F.count(F.lit(1)).alias("n")).withColumn("key", hash60(F.col("kmer")))
     return bottom(keyed.select(group, "key", "n"), group, size)
 
 
+def hash60(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def bottom(keyed: DataFrame, group: str, size: int) -> DataFrame:
     return keyed.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy("key"))).filter(F.col("rank") <= size)
 
@@ -115,4 +119,4 @@ def widespread(rows: DataFrame, group: str, kmers: Column, least: int) -> DataFr
 
 def pivot_kmer(kmers: Column) -> Column:
     """The k-mer with the least hash: reads that share it are put together."""
-    return F.array_min(F.transform(kmers, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("k"))))["k"]
+    return F.array_min(F.transform(kmers, lambda x: F.struct(F.md5(x).alias("h"), x.alias("k"))))["k"]

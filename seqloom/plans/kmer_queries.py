@@ -178,11 +178,15 @@ def inverted_index_join(t):
     return T.shared_counts(own, "source", "line").select(F.col("a").alias("q"), F.col("b").alias("r"), F.col("shared").alias("hits"))
 
 
-@query()
+SKETCH = f"WITH {READS}, u AS (SELECT source, kmer FROM {kmer_sql(16)} k JOIN reads USING (id) GROUP BY 1, 2), s AS (SELECT source, key FROM (SELECT source, CAST('0x' || substring(md5(kmer), 1, 15) AS BIGINT) AS key, row_number() OVER (PARTITION BY source ORDER BY CAST('0x' || substring(md5(kmer), 1, 15) AS BIGINT)) AS r FROM u) WHERE r <= 500), z AS (SELECT source, count(*) AS size FROM s GROUP BY 1)"
+
+
+@query(SKETCH + " SELECT a.source AS q, b.source AS r, count(*) AS hits, round(count(*) / least(max(x.size), max(y.size)), 9) AS wkid, round(pow(count(*) / least(max(x.size), max(y.size)), 1 / 16.0), 9) AS ani FROM s a JOIN s b USING (key) JOIN z x ON x.source = a.source JOIN z y ON y.source = b.source GROUP BY 1, 2")
 def sketch_compare(t):
-    """Bottom-500 sketches of sources against each other; Spark's own hash has no SQL twin, so tested against sets."""
+    """Bottom-500 sketches of sources against each other."""
     made = K.sketch(reads(t), "source", S.defined_kmers(F.col("bases"), 16), 500)
-    return K.compare_sketches(made, made, "source", 500).withColumn("ani", S.ani_from_kmer_identity(F.col("wkid"), 16))
+    out = K.compare_sketches(made, made, "source", 500)
+    return out.withColumn("ani", F.round(S.ani_from_kmer_identity(F.col("wkid"), 16), 9)).withColumn("wkid", F.round("wkid", 9))
 
 
 @query()
@@ -229,7 +233,7 @@ def assemble_unitigs(t):
     return G.unitigs(K.counts(reads(t), S.defined_kmers(F.col("bases"), 21), least=3), 21).withColumn("depth", F.round("depth", 6))
 
 
-@query()
+@query(f"WITH {READS}, p AS (SELECT id, arg_min(kmer, md5(kmer)) AS least FROM {kmer_sql(12)} GROUP BY id) SELECT id, least AS \"pivot\" FROM reads LEFT JOIN p USING (id)")
 def clump_by_pivot(t):
     """Reads put next to each other by their least-hashed k-mer."""
     return reads(t).withColumn("pivot", K.pivot_kmer(S.defined_kmers(F.col("bases"), 12))).repartition("pivot").sortWithinPartitions("pivot", "id").select("id", "pivot")
