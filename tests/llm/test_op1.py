@@ -2,6 +2,7 @@ import math
 
 from pyspark.sql import types as T
 
+from seqloom.llm import common
 from seqloom.llm import op1_language as op
 
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("host", T.StringType())])
@@ -75,3 +76,15 @@ def test_driver_tables(spark):
 def test_language_declared_behind_a_long_comment(spark):
     page = f"<!-- {'x' * 70000} --><html lang='fr'><body>a</body></html>"
     assert spark.createDataFrame([(page,)], "html string").select(op.declared_language("html")).first()[0] == "fr"
+
+
+def test_hot_hosts_and_long_pages(spark, monkeypatch):
+    """One host and one suffix hold most rows, or none is known: spreading them changes nothing. A declaration behind a long preamble counts."""
+    docs = docs_of(spark, [(i, TEXT[l] * (1 + i % 4), l, "one", 1) for i, l in enumerate(list(TEXT) * 20)])
+    rows = [(i, "http://big.example.org/x" if i % 3 else f"http://h{i}.example.org/", f"<p>{TEXT[l]}</p>") for i, l in enumerate(list(TEXT) * 20)] + [(200 + i, None, "<p>123</p>") for i in range(20)]
+    rows += [(300, "http://big.example.org/", f"<!--{'x' * 70_000}--><html lang='de'><p>123</p>" + "<p> </p>" * 50_000)]
+    one = {(r.kind, r.doc_id, r.page_id): (r.lang, round(r.confidence, 9)) for r in op.identify(pages_of(spark, rows), docs).collect()}
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    two = {(r.kind, r.doc_id, r.page_id): (r.lang, round(r.confidence, 9)) for r in op.identify(pages_of(spark, rows), docs).collect()}
+    assert one == two and len(one) == len(rows) + 60
+    assert pages_of(spark, rows).filter("page_id = 300").select(op.declared_language("html").alias("d")).first().d == "de"
