@@ -104,10 +104,10 @@ def chain_heads(nodes: DataFrame, back: DataFrame) -> DataFrame:
             return state
 
 
-def greedy_cover(members: DataFrame, group: str, item: str, most: int) -> list:
-    """Groups that cover all items: the one with most uncovered items, again and again; ties by least id. One small row a round comes back."""
+def greedy_cover(members: DataFrame, group: str, item: str, most: int | None = None) -> list:
+    """Groups that cover all items: the one with most uncovered items, again and again; ties by least id. All items are covered unless ``most`` groups are to do. One small row a round comes back."""
     left, chosen = cut(members.select(group, item).distinct()), []
-    while len(chosen) < most:
+    while most is None or len(chosen) < most:
         best = left.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), group).first()
         if best is None:
             break

@@ -145,9 +145,9 @@ def invert_variants(t):
     return C.inverted_variants(v)
 
 
-@query()
+@query("SELECT p_partkey, substring(p_name, 1, 1) || '#' || substring(p_name, 3) AS bases, 1 AS applied FROM part")
 def apply_variants(t):
-    """Part names with a symbol changed; tested by plain strings."""
+    """Part names with a symbol changed."""
     p = t("part").select("p_partkey", F.col("p_name").alias("bases"))
     v = t("part").select("p_partkey", F.lit(2).alias("pos"), F.substring("p_name", 2, 1).alias("ref"), F.lit("#").alias("alt"), F.lit(5).cast("long").alias("depth"))
     return G.apply_variants(p, v, "p_partkey", "bases")

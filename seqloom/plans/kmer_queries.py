@@ -245,5 +245,5 @@ def covering_set(t):
     w = words(t).select("source", F.explode(grams(2)).alias("pair"))
     often = w.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter("n >= 50").select("pair")
     members = w.join(often, "pair").select("source", "pair").distinct()
-    chosen = G.greedy_cover(members, "source", "pair", 1000)
+    chosen = G.greedy_cover(members, "source", "pair")
     return members.sparkSession.createDataFrame([(i, s) for i, s in enumerate(chosen)], "step int, source string")
