@@ -107,7 +107,8 @@ DIGITS48 = "".join(chr(48 + i) for i in range(48))
 def encoded48(number: Column) -> Column:
     """A number of at least 0 in base 48, highest digit first, digits from character 48 on."""
     places = F.sequence(F.lit(11), F.lit(0), F.lit(-1))
-    digit = lambda i: F.floor(number.cast("decimal(38,0)") / F.pow(F.lit(48), i).cast("decimal(38,0)")).cast("decimal(38,0)") % 48
+    whole, unit = number.cast("decimal(38,0)"), lambda i: F.pow(F.lit(48), i).cast("decimal(38,0)")
+    digit = lambda i: ((whole - whole % unit(i)) / unit(i)).cast("decimal(38,0)") % 48  # noqa: E731 - without its remainder first: a decimal quotient is rounded
     text = F.array_join(F.transform(places, lambda i: F.char(digit(i).cast("int") + 48)), "")
     return F.coalesce(F.nullif(F.ltrim(text, F.lit("0")), F.lit("")), F.lit("0"))
 

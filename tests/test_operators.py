@@ -2,11 +2,13 @@
 
 import random
 from collections import Counter, defaultdict
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom import plans
+from seqloom.functions import scalars as X
 from seqloom.functions import sequence as S
 from seqloom.operators import graphs as G
 from seqloom.operators import kmers as K
@@ -152,3 +154,17 @@ def test_whole_pairs(spark):
         want[r.conv_id, r.turn // 2][r.turn % 2] = max(want[r.conv_id, r.turn // 2][r.turn % 2] or "", r.text)
     got = {(r.name, r.number): [r.one, r.two] for r in plans.QUERIES["repair_pairs"](spark, SF).collect()}
     assert got == want and any(number for _, number in got)
+
+
+def test_base48_of_numbers_just_below_a_power(spark):
+    numbers = [0, 1, 47, 48, 1000 * 7919 * 104729] + [48**i * d - 1 for i in range(1, 12) for d in (1, 2, 47)] + [48**12 - 1]
+    rows = spark.createDataFrame([(Decimal(n),) for n in numbers], "n decimal(38,0)").select("n", X.encoded48(F.col("n")).alias("code"))
+
+    def plain(n):
+        text = ""
+        while n:
+            n, d = divmod(n, 48)
+            text = chr(48 + d) + text
+        return text or "0"
+
+    assert [r.code for r in rows.collect()] == [plain(n) for n in numbers]
