@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from seqloom.functions import sequence as S
 from seqloom.operators import alignment as L
 from seqloom.operators import genomes as G
+from seqloom.operators import sets as T
 from seqloom.plans.registry import query, reads
 
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(-levenshtein(a.p_name, b.p_name) AS INTEGER) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def align_pairs(t):
-    a = t("part").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"), "p_brand", "p_size")
-    b = t("part").select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y"), "p_brand", "p_size")
-    return L.aligned(a.join(b, ["p_brand", "p_size"]).filter("a < b").select("a", "b", "x", "y"), "x", "y", match=0).select("a", "b", "score")
+    part = t("part").select("p_partkey", "p_brand", "p_size", "p_name")
+    classes = T.class_pairs(part, "p_partkey", ["p_brand", "p_size"], {"p_name": ("x", "y")})
+    texts = L.aligned(classes.select("x", "y").distinct(), "x", "y", match=0).select(F.col("x").alias("x2"), F.col("y").alias("y2"), "score")
+    return T.paired(classes.join(texts, F.col("x").eqNullSafe(F.col("x2")) & F.col("y").eqNullSafe(F.col("y2"))), "score")
 
 
 @query("""WITH w AS (SELECT l_suppkey AS k, l_partkey % 50 AS p, l_returnflag AS b, sum(l_linenumber) AS w FROM lineitem GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY k, p ORDER BY w DESC, b) AS n FROM w)
