@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The symbols and their complements, IUPAC codes included.
 SYMBOLS = "ACGTUNRYSWKMBDHVacgtunryswkmbdhv"
 COMPLEMENTS = "TGCAANYRSWMKVHDBtgcaanyrswmkvhdb"
+MOST = 2**31 - 1
 
 
 def let(value: Column, body) -> Column:
@@ -43,6 +44,11 @@ def gc(bases: Column) -> Column:
     return F.when(defined > 0, count_of(bases, "GCgc") / defined).otherwise(F.lit(0.0))
 
 
+def pieces(bases: Column, size: int, more: int = 0) -> Column:
+    """The text in pieces of ``size`` symbols, each with up to ``more`` of those behind it. A substring is found by counting from the start of its text, so places deep in a long text are looked up within a piece."""
+    return F.coalesce(F.regexp_extract_all(bases, F.lit(rf"(?s)(?=(.{{1,{size + more}}})).{{1,{size}}}"), F.lit(1)), F.array().cast("array<string>"))
+
+
 def kmers(bases: Column, k: int, step: int = 1) -> Column:
     """Every k symbols from left to right; an empty array where there are fewer."""
 
@@ -50,7 +56,7 @@ def kmers(bases: Column, k: int, step: int = 1) -> Column:
         starts = F.when(F.length(b) >= k, F.sequence(F.lit(1), F.length(b) - k + 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(b, i, F.lit(k)))
 
-    return let(bases, all_of)
+    return F.flatten(F.transform(pieces(bases, step * max(1, 128 // step), k - 1), all_of))
 
 
 def defined_kmers(bases: Column, k: int) -> Column:
@@ -191,10 +197,10 @@ def translated(bases: Column, frame: int = 0) -> Column:
     code = F.create_map(*[F.lit(x) for pair in zip(_CODONS, CODE, strict=True) for x in pair])
 
     def amino(b: Column) -> Column:
-        starts = F.when(F.length(b) - frame >= 3, F.sequence(F.lit(1 + frame), F.length(b) - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
+        starts = F.when(F.length(b) >= 3, F.sequence(F.lit(1), F.length(b) - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
         return F.array_join(F.transform(starts, lambda i: F.coalesce(F.try_element_at(code, F.substring(b, i, F.lit(3))), F.lit("X"))), "")
 
-    return let(bases, amino)
+    return F.array_join(F.transform(pieces(F.substring(bases, 1 + frame, MOST), 126), amino), "")
 
 
 def six_frames(bases: Column) -> Column:

@@ -58,12 +58,22 @@ def packed(texts: pa.Array, k: int, canonical: bool = False) -> tuple[np.ndarray
     return keys, row[at], at - starts[row[at]]
 
 
+def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows of about ``most`` symbols, so that what is made of one is bounded, however long a batch's texts are; a longer row is a piece of its own."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64()))
+    ends, done = np.cumsum(sizes), 0
+    while done < len(sizes):
+        stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + most, "right")))
+        yield batch.slice(done, stop - done)
+        done = stop
+
+
 def counts(reads: DataFrame, bases: str, k: int, canonical: bool = False, by: str | None = None, least: int = 1) -> DataFrame:
     """``(key, n)``, with ``by`` counted for each of its values: counted in each batch before the shuffle."""
     names = [by] if by else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole, 0)):
             keys, rows, _ = packed(batch.column(0), k, canonical)
             if by is None:
                 found, n = np.unique(keys, return_counts=True)
@@ -86,7 +96,7 @@ def placed(reads: DataFrame, id_column: str, bases: str, k: int, canonical: bool
     """``(id, pos, key)``, pos from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole, 1)):
             keys, rows, places = packed(batch.column(1), k, canonical)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(places.astype(np.int32)), pa.array(keys)], names=[id_column, "pos", "key"])
 
@@ -98,7 +108,7 @@ def of_reads(reads: DataFrame, id_column: str, bases: str, k: int, canonical: bo
     """``(id, key, n)``: how often each k-mer is in each read; a read is counted in its batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole, 1)):
             keys, rows, _ = packed(batch.column(1), k, canonical)
             order = np.lexsort((keys, rows))
             keys, rows = keys[order], rows[order]
