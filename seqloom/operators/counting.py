@@ -27,8 +27,10 @@ def estimates(keys: DataFrame, key: str, table: DataFrame, depth: int = 3, width
 
 def prefiltered_counts(keys: DataFrame, key: str, least: int, depth: int = 2, width: int = 1 << 20) -> DataFrame:
     """``(key, n)`` of keys that occur at least ``least`` times, exactly: only keys whose cell is full enough in the first line are counted."""
-    table = count_min(keys, key, 1, width).filter(F.col("n") >= least).select("cell")
-    hopeful = keys.withColumn("cell", hash_number(F.col(key), 0) % width).join(table, "cell", "left_semi")
+    cell = F.pmod(F.xxhash64(key), F.lit(width)).alias("cell")
+    keys = keys.filter(F.col(key).isNotNull())
+    table = keys.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("cell")
+    hopeful = keys.select(key, cell).join(table, "cell", "left_semi")
     return hopeful.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
